@@ -13,6 +13,7 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # --- fixed values of the published algorithm ---
 EXCEPTIONS = {
@@ -124,12 +125,12 @@ def porter2(word: str) -> str:
     return w.lower()
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def _stem_arrays(tokens: pd.Series) -> pd.Series:
     return tokens.map(lambda words: [porter2(w) for w in words])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _stem_column(words: pd.Series) -> pd.Series:
     return words.map(porter2)
 

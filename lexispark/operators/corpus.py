@@ -74,9 +74,9 @@ def split_features_label(df: DataFrame, label: str = "binary_rating") -> DataFra
 
 def model_matrix_no_intercept(df: DataFrame, label: str = "binary_rating") -> DataFrame:
     """Design matrix `label ~ . - 1` of the non-key columns, as `review_id, features, label`."""
-    cols = " + ".join(f"`{c}`" for c in feature_columns(df))
-    formula = RFormula(formula=f"{label} ~ {cols} - 1", featuresCol="features", labelCol="label", forceIndexLabel=False)
-    return formula.fit(df).transform(df).select("review_id", "features", F.col("label").cast("double").alias("label"))
+    formula = RFormula(formula=f"{label} ~ . - 1", featuresCol="features", labelCol="label")
+    fitted = formula.fit(df.select(label, *feature_columns(df)))
+    return fitted.transform(df).select("review_id", "features", "label")
 
 
 def filter_empty_documents(reviews: DataFrame, term_counts: DataFrame) -> DataFrame:
