@@ -72,7 +72,7 @@ def learning_curve(metrics: DataFrame, metric: str = "auc", model: str = "xgboos
 
 
 def seconds_between(start, end) -> Column:
-    return (F.unix_micros(end) - F.unix_micros(start)) / F.lit(1e6)
+    return (F.unix_micros(end.cast("timestamp")) - F.unix_micros(start.cast("timestamp"))) / F.lit(1e6)
 
 
 def stage_duration(stages: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lexispark.functions.text import WORD
 from lexispark.operators.cleaning import tokenized
 from lexispark.operators.sampling import fraction_split
-from lexispark.session import small_table
+from lexispark.session import small_table, spread_scan
 
 # Small own lexicons out of the words of the test texts.
 STOP = (
@@ -37,9 +37,10 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select(
+    scan = table(spark, sf, "documents").select(
         F.col("doc_id").cast("string").alias("review_id"), F.col("text").alias("review_text")
     )
+    return spread_scan(scan, "review_id")
 
 
 def reviews(spark: SparkSession, sf: str) -> DataFrame:
@@ -118,7 +119,7 @@ def bucket_sql(expr: str, digits: int = 4) -> str:
 
 _CTES = {
     "docs": "docs AS (SELECT CAST(doc_id AS VARCHAR) AS review_id, text AS review_text FROM documents)",
-    "reviews": """reviews AS (SELECT CAST(doc_id AS VARCHAR) AS review_id,
+    "reviews": """reviews AS MATERIALIZED (SELECT CAST(doc_id AS VARCHAR) AS review_id,
         CAST(1 + 3 * quality + (1 - toxic) AS DOUBLE) AS rating, CAST(quality AS INTEGER) AS binary_rating,
         text AS review_text FROM documents JOIN labels USING (doc_id))""",
     "typed": f"""typed AS (SELECT *, CASE WHEN {bucket_sql("'42-' || review_id", 8)} / 4294967296::DOUBLE < 0.8::DOUBLE

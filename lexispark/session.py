@@ -65,3 +65,13 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
 def small_table(spark: SparkSession, columns: dict[str, list]) -> DataFrame:
     """A literal table (lexicon, stop list, grid). Arrow input gives it known statistics."""
     return spark.createDataFrame(pa.table(columns))
+
+
+def spread_scan(scan: DataFrame, key: str) -> DataFrame:
+    """Distribute a table scan with fewer splits than cores by its key, so that row-local text work runs in parallel.
+
+    A table of many files or row groups is returned as it is. Only for plain scans: counting the splits
+    of a plan with joins would run it.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores, key) if scan.rdd.getNumPartitions() < cores else scan

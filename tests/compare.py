@@ -77,6 +77,7 @@ if __name__ == "__main__":  # python tests/compare.py [sf_dir] [names...]
                 ok, text = True, f"{key}: rows only, {len(run(session, sf).collect())} rows"
                 text += f", {time.time() - start:.1f}s"
         except Exception as e:  # noqa: BLE001
+            connection = duck(sf)  # a fatal error invalidates the old one
             ok, text = False, f"{key}: {type(e).__name__} {str(e)[:600]}"
         print("ok  " if ok else "FAIL", text, flush=True)
         if not ok:
