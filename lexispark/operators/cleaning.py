@@ -36,6 +36,12 @@ def tokenized(reviews: DataFrame, stopwords: Iterable[str] = (), lower: bool = T
     return reviews.withColumn("tokens", tx.drop_words(tx.tokenize_words(text, lower), stopwords))
 
 
+def stripped_tokens(reviews: DataFrame, stopwords: Iterable[str] = tx.PRONOUNS) -> DataFrame:
+    """Adds `tokens`: the lower-cased text without punctuation, split at whitespace, without the stop words."""
+    words = F.filter(F.split(F.coalesce(tx.strip_punct_lower("review_text"), F.lit("")), r"\s+"), lambda w: w != "")
+    return reviews.withColumn("tokens", tx.drop_words(words, stopwords))
+
+
 def token_rows(docs: DataFrame, keep: Iterable[str] = ("review_id",), tokens: str = "tokens") -> DataFrame:
     """Tidy form: one row per token with its 1-based position in the review."""
     return docs.select(*keep, F.posexplode(tokens).alias("_at", "word")).select(

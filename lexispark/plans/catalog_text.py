@@ -11,9 +11,6 @@ from lexispark.plans import fixture as fx
 from lexispark.plans.fixture import with_sql
 from lexispark.plans.registry import query
 
-_PUNCT_SQL = tx.PUNCTUATION.replace("'", "''")
-
-
 def _text(spark, sf, column):
     return fx.documents(spark, sf).select("review_id", column.alias("review_text"))
 
@@ -44,7 +41,7 @@ def _(spark, sf):
     return _text(spark, sf, tx.normalize_alnum("review_text"))
 
 
-@query("strip_punct_lower", with_sql(f"SELECT review_id, translate(lower(review_text), '{_PUNCT_SQL}', '') AS review_text FROM docs", "docs"))
+@query("strip_punct_lower", with_sql(f"SELECT review_id, translate(lower(review_text), '{fx.PUNCTUATION_SQL}', '') AS review_text FROM docs", "docs"))
 def _(spark, sf):
     return _text(spark, sf, tx.strip_punct_lower("review_text"))
 

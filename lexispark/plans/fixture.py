@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexispark.functions.text import WORD
+from lexispark.functions.text import PUNCTUATION, WORD
 from lexispark.operators.cleaning import tokenized
 from lexispark.operators.sampling import fraction_split
 from lexispark.session import small_table, spread_scan
@@ -109,6 +109,7 @@ def _values(rows) -> str:
 
 
 _PATTERN = WORD.replace("'", "''")
+PUNCTUATION_SQL = PUNCTUATION.replace("'", "''")
 _STOP_IN = ", ".join(f"'{w}'" for w in STOP)
 _BUCKET = "CAST('0x' || substr(md5({0}), 1, {1}) AS BIGINT)"
 
