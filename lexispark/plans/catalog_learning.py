@@ -1 +1,170 @@
-"""Queries."""
+"""Queries: fitted features and classifiers. They have no SQL form; tests check their invariants."""
+
+from __future__ import annotations
+
+from pyspark.ml.clustering import LocalLDAModel
+from pyspark.ml.functions import array_to_vector
+from pyspark.sql import functions as F
+
+from lexispark.operators import cleaning, embeddings, latent, models, sampling, terms, topics
+from lexispark.plans import fixture as fx
+from lexispark.plans import protocols
+from lexispark.plans.catalog_features import word_table
+from lexispark.plans.fixture import with_sql
+from lexispark.plans.registry import query
+from lexispark.session import new_folder, small_table
+
+KEEP = ("review_id", "type")
+
+
+def _count_vectors(spark, sf, sparse=0.98):
+    """Count vectors of all documents on the vocabulary of the training documents."""
+    docs = cleaning.tokenized(fx.typed(spark, sf), fx.STOP)
+    vocab = terms.dtm_vocabulary(docs.where("type = 'train'"), n_max=2, min_df=10, sparse=sparse)
+    vectors, words = terms.count_vectors(docs, vocab, 2, keep=KEEP)
+    return vectors.where("type = 'train'"), vectors.where("type = 'test'"), words
+
+
+def _long(df, column):
+    return df.select("review_id", F.posexplode(column).alias("dim", "value"))
+
+
+# --- latent semantic analysis ---
+@query("lsa_fit")
+def _(spark, sf):
+    train, _test, words = _count_vectors(spark, sf)
+    model = latent.lsa_fit(train, words)
+    return small_table(spark, {"rank": list(range(1, model.k + 1)), "singular_value": model.singular_values[: model.k].tolist()})
+
+
+@query("lsa_features")
+def _(spark, sf):
+    train, _test, words = _count_vectors(spark, sf)
+    return _long(latent.lsa_fit(train, words).transform(train, "projected"), "lsa")
+
+
+@query("lsa_foldin")
+def _(spark, sf):
+    train, test, words = _count_vectors(spark, sf)
+    return _long(latent.lsa_fit(train, words).transform(test, "projected"), "lsa")
+
+
+@query("lsa_doc_vectors")
+def _(spark, sf):
+    train, _test, words = _count_vectors(spark, sf)
+    return _long(latent.lsa_fit(train, words).transform(train, "doc_vectors"), "lsa")
+
+
+@query(
+    "lsa_energy",
+    with_sql(
+        """SELECT count(DISTINCT term) AS n_terms, round(sum(n * n), 3)::DOUBLE AS energy FROM grams JOIN typed USING (review_id)
+        WHERE type = 'train' AND term IN (SELECT term FROM vocab)""", "grams", "typed",
+        extra=(
+            """vocab AS (SELECT term FROM grams JOIN typed USING (review_id) WHERE type = 'train' AND length(term) >= 3 GROUP BY term
+            HAVING count(*) >= 10 AND count(*) > (SELECT count(*) FROM typed WHERE type = 'train') * (1::DOUBLE - 0.98::DOUBLE))""",
+        ),
+    ),
+)
+def _(spark, sf):
+    # the squared singular values sum up to the squared counts
+    train, _test, words = _count_vectors(spark, sf)
+    model = latent.lsa_fit(train, words)
+    return small_table(spark, {"n_terms": [len(words)], "energy": [round(float((model.singular_values**2).sum()), 3)]})
+
+
+# --- topics ---
+def _topic_model(spark, sf):
+    train, test, words = _count_vectors(spark, sf)
+    return topics.lda_fit(train, iterations=10, batch_share=0.2), train, test, words
+
+
+@query("lda_fit")
+def _(spark, sf):
+    model, _train, _test, words = _topic_model(spark, sf)
+    return topics.topic_top_terms(model, words, 20)
+
+
+@query("topic_top_terms")
+def _(spark, sf):
+    model, _train, _test, words = _topic_model(spark, sf)
+    return topics.topic_top_terms(model, words, 10)
+
+
+@query("lda_features")
+def _(spark, sf):
+    model, train, _test, _words = _topic_model(spark, sf)
+    return _long(topics.lda_features(model, train), "topics")
+
+
+@query("lda_foldin")
+def _(spark, sf):
+    model, train, test, _words = _topic_model(spark, sf)
+    return topics.lda_foldin(model, train, test).select("review_id", "type", F.posexplode("topics").alias("dim", "value"))
+
+
+@query("save_fitted_model")
+def _(spark, sf):
+    model, train, _test, _words = _topic_model(spark, sf)
+    path = models.save_fitted_model(model, new_folder(spark, "topic-model"))
+    return _long(topics.lda_features(LocalLDAModel.load(path), train), "topics")
+
+
+# --- word vectors ---
+@query("word2vec_fit")
+def _(spark, sf):
+    vectors = embeddings.word2vec_fit(fx.docs(spark, sf), dim=16, iterations=1)
+    return vectors.select("word", F.posexplode("vector").alias("dim", "value"))
+
+
+@query("word_clusters")
+def _(spark, sf):
+    return embeddings.word_clusters(word_table(spark, sf).select("word", "vector"), max_iter=20)
+
+
+# --- classifiers ---
+def _labelled_vectors(spark, sf):
+    """Vector averages of the labelled documents with a stratified split."""
+    reviews = fx.reviews(spark, sf)
+    means = embeddings.vector_average(cleaning.tokenized(reviews), word_table(spark, sf), fx.DIM, fx.STOP)
+    labels = reviews.select("review_id", F.col("binary_rating").cast("double").alias("label"))
+    rows = labels.join(means, "review_id").select("review_id", array_to_vector("vector").alias("features"), "label")
+    split = sampling.stratified_split(rows, "label", 0.2).cache()
+    return split.where("type = 'train'").drop("type"), split.where("type = 'test'").drop("type")
+
+
+@query("lasso_logistic_cv")
+def _(spark, sf):
+    train, test = _labelled_vectors(spark, sf)
+    return models.predict_models({"glmnet": models.lasso_logistic_cv(train, folds=3, n_lambda=5)}, test)
+
+
+@query("boosted_trees")
+def _(spark, sf):
+    train, test = _labelled_vectors(spark, sf)
+    return models.predict_models({"xgboost": models.boosted_trees(train, rounds=5, depth=4)}, test)
+
+
+@query("logistic_plain")
+def _(spark, sf):
+    train, test = _labelled_vectors(spark, sf)
+    return models.predict_models({"glm": models.logistic_plain(train)}, test)
+
+
+@query("predict_models")
+def _(spark, sf):
+    train, test = _labelled_vectors(spark, sf)
+    fitted = {
+        "glmnet": models.lasso_logistic_cv(train, folds=3, n_lambda=3),
+        "xgboost": models.boosted_trees(train, rounds=3, depth=3),
+    }
+    return models.predict_models(fitted, test)
+
+
+@query("run_grid")
+def _(spark, sf):
+    train, test = _labelled_vectors(spark, sf)
+    rows = train.withColumn("type", F.lit("train")).unionByName(test.withColumn("type", F.lit("test")))
+    quick = lambda part: {"glmnet": models.logistic_plain(part), "xgboost": models.boosted_trees(part, rounds=3, depth=3)}
+    grid = protocols.parameter_grid(["documents"], ["average"], [1000], spark=spark)
+    return protocols.run_grid(grid, lambda *cell: rows, "mix_only", quick)
