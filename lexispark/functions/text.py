@@ -65,20 +65,22 @@ def drop_words(tokens, words: Iterable[str]) -> Column:
 
 
 def ngrams(tokens, n_min: int = 1, n_max: int = 2, sep: str = " ") -> Column:
-    """All n-grams for n in n_min..n_max, shorter ones first; none where the text is too short.
-
-    `tokens` should be a plain column: it is read once per n-gram.
-    """
+    """All n-grams for n in n_min..n_max, shorter ones first; none where the text is too short."""
     t = _col(tokens)
-    parts = []
-    for n in range(n_min, n_max + 1):
-        if n == 1:
-            parts.append(t)
-            continue
-        heads = F.slice(t, F.lit(1), F.greatest(F.size(t) - F.lit(n - 1), F.lit(0)))
-        parts.append(
-            F.transform(heads, lambda w, i: F.concat_ws(sep, w, *[F.get(t, i + F.lit(j)) for j in range(1, n)]))
-        )
+
+    def shifted(start: int, n: int) -> Column:
+        """The tokens that stand at place `start` of some n-gram."""
+        return F.slice(t, F.lit(start + 1), F.greatest(F.size(t) - F.lit(n - 1), F.lit(0)))
+
+    # zipped slices, not a lambda that looks into `t`: Spark may inline the expression behind `t`
+    # when it pushes a filter down, and inside a lambda that would run once per token
+    def grams(n: int) -> Column:
+        joined = shifted(0, n)
+        for place in range(1, n):
+            joined = F.zip_with(joined, shifted(place, n), lambda a, b: F.concat_ws(sep, a, b))
+        return joined
+
+    parts = [t if n == 1 else grams(n) for n in range(n_min, n_max + 1)]
     return parts[0] if len(parts) == 1 else F.concat(*parts)
 
 

@@ -42,11 +42,19 @@ def stripped_tokens(reviews: DataFrame, stopwords: Iterable[str] = tx.PRONOUNS)
     return reviews.withColumn("tokens", tx.drop_words(words, stopwords))
 
 
-def token_rows(docs: DataFrame, keep: Iterable[str] = ("review_id",), tokens: str = "tokens") -> DataFrame:
+# The long forms use outer generators and drop the NULL row of empty reviews: for an inner one Spark
+# infers a `size(tokens) > 0` filter and pushes it below the tokenizer, which would then run twice.
+
+
+def words_of(docs: DataFrame, keep: Iterable[str] = ("review_id",)) -> DataFrame:
+    """One row per token: `keep, word`."""
+    return docs.select(*keep, F.explode_outer("tokens").alias("word")).where("word is not null")
+
+
+def token_rows(docs: DataFrame, keep: Iterable[str] = ("review_id",)) -> DataFrame:
     """Tidy form: one row per token with its 1-based position in the review."""
-    return docs.select(*keep, F.posexplode(tokens).alias("_at", "word")).select(
-        *keep, (F.col("_at") + 1).alias("pos"), "word"
-    )
+    rows = docs.select(*keep, F.posexplode_outer("tokens").alias("_at", "word")).where("word is not null")
+    return rows.select(*keep, (F.col("_at") + 1).alias("pos"), "word")
 
 
 def remove_stopwords(tokens: DataFrame, stopwords: DataFrame) -> DataFrame:

@@ -5,16 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexispark.operators.ranking import exact_quantiles
 from lexispark.functions.text import drop_words
+from lexispark.operators.cleaning import words_of
+from lexispark.operators.ranking import exact_quantiles
 
 FIVE_NUMBERS = {"min": 0.0, "q1": 0.25, "median": 0.5, "q3": 0.75, "max": 1.0}
 
 
 def word_count(docs: DataFrame) -> DataFrame:
     """Occurrences per word over the corpus, most frequent first."""
-    words = docs.select(F.explode("tokens").alias("word"))
-    return words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "word")
+    return words_of(docs, ()).groupBy("word").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "word")
 
 
 def sentiment_word_count(docs: DataFrame, lexicon: DataFrame, sentiment: str) -> DataFrame:
@@ -22,7 +22,7 @@ def sentiment_word_count(docs: DataFrame, lexicon: DataFrame, sentiment: str) ->
 
     The words are counted before the join, which then sees the vocabulary instead of the text.
     """
-    counts = docs.select(F.explode("tokens").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    counts = words_of(docs, ()).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     wanted = lexicon.where(F.col("sentiment") == sentiment).select("word", "sentiment")
     found = counts.join(wanted, "word").groupBy("word", "sentiment").agg(F.sum("n").alias("n"))
     return found.orderBy(F.desc("n"), "word")

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexispark.functions.text import drop_words
+from lexispark.operators.cleaning import words_of
 from lexispark.operators.ranking import assign_row_id
 
 
@@ -19,7 +20,7 @@ def subsample_tokens(docs: DataFrame, sample: float = 1e-3, seed: int = 42) -> D
     task takes the same decision. Only words above the threshold can be thinned: at most
     1 / sample words, which are looked up as a map.
     """
-    counts = docs.select(F.explode("tokens").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    counts = words_of(docs, ()).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     total = docs.agg(F.sum(F.size("tokens")).alias("t")).first()["t"] or 0
     ratio = F.lit(float(sample) * total) / F.col("n")
     keep = F.sqrt(ratio) + ratio
@@ -98,11 +99,10 @@ def cluster_centers(vectors: DataFrame, clusters: DataFrame, dim: int) -> DataFr
 
 def bag_of_centroids(docs: DataFrame, clusters: DataFrame) -> DataFrame:
     """`review_id, cluster, n`: tokens of a review per word cluster (raw counts)."""
-    words = docs.select("review_id", F.explode("tokens").alias("word"))
-    return word_cluster_join(words, clusters).groupBy("review_id", "cluster").agg(F.count(F.lit(1)).alias("n"))
+    return word_cluster_join(words_of(docs), clusters).groupBy("review_id", "cluster").agg(F.count(F.lit(1)).alias("n"))
 
 
 def frequent_words(docs: DataFrame, min_count: int = 1) -> DataFrame:
     """`word_no, word` by descending count (ties by word), for tables that refer to words by number."""
-    counts = docs.select(F.explode("tokens").alias("word")).groupBy("word").agg((-F.count(F.lit(1))).alias("_n"))
+    counts = words_of(docs, ()).groupBy("word").agg((-F.count(F.lit(1))).alias("_n"))
     return assign_row_id(counts.where(F.col("_n") <= -min_count), ["_n", "word"], "word_no").drop("_n")

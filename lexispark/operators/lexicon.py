@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexispark.operators.assessment import confusion_matrix
-from lexispark.operators.cleaning import clean_reviews
+from lexispark.operators.cleaning import clean_reviews, words_of
 
 EMOTIONS = ("anger", "anticipation", "disgust", "fear", "joy", "sadness", "surprise", "trust")
 POLARITIES = ("negative", "positive")
@@ -19,8 +19,7 @@ def lexicon_lookup(tokens: DataFrame, lexicon: DataFrame) -> DataFrame:
 
 def afinn_score(docs: DataFrame, lexicon: DataFrame) -> DataFrame:
     """Mean score over a review's matched tokens; reviews without a match drop out."""
-    words = docs.select("review_id", F.explode("tokens").alias("word"))
-    return lexicon_lookup(words, lexicon).groupBy("review_id").agg(F.avg("afinn_score").alias("afinn_score"))
+    return lexicon_lookup(words_of(docs), lexicon).groupBy("review_id").agg(F.avg("afinn_score").alias("afinn_score"))
 
 
 def nrc_emotions(docs: DataFrame, lexicon: DataFrame) -> DataFrame:

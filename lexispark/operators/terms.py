@@ -107,10 +107,9 @@ def inverse_document_frequency(docs: DataFrame) -> DataFrame:
 
     A NULL word per document carries N through the same aggregation, which saves a second pass.
     """
-    words = F.concat(F.array_distinct("tokens"), F.array(F.lit(None).cast("string")))
+    marked = F.concat(F.array_distinct("tokens"), F.array(F.lit(None).cast("string")))
     df = stage(
-        docs.where(F.size("tokens") > 0)
-        .select(F.explode(words).alias("word"))
+        docs.select(F.explode(F.when(F.size("tokens") > 0, marked)).alias("word"))
         .groupBy("word")
         .agg(F.count(F.lit(1)).alias("df")),
         "document-frequency",

@@ -219,7 +219,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     means = embeddings.vector_average(fx.docs(spark, sf, ()), word_table(spark, sf), fx.DIM, fx.STOP)
-    return fx.round6(means.select("review_id", F.posexplode("vector").alias("dim", "value")), "value")
+    return fx.round6(means.select("review_id", F.posexplode_outer("vector").alias("dim", "value")), "value")
 
 
 @query(

@@ -26,7 +26,7 @@ def _count_vectors(spark, sf, sparse=0.98):
 
 
 def _long(df, column):
-    return df.select("review_id", F.posexplode(column).alias("dim", "value"))
+    return df.select("review_id", F.posexplode_outer(column).alias("dim", "value"))
 
 
 # --- latent semantic analysis ---
@@ -100,7 +100,7 @@ def _(spark, sf):
 @query("lda_foldin")
 def _(spark, sf):
     model, train, test, _words = _topic_model(spark, sf)
-    return topics.lda_foldin(model, train, test).select("review_id", "type", F.posexplode("topics").alias("dim", "value"))
+    return topics.lda_foldin(model, train, test).select("review_id", "type", F.posexplode_outer("topics").alias("dim", "value"))
 
 
 @query("save_fitted_model")
@@ -114,7 +114,7 @@ def _(spark, sf):
 @query("word2vec_fit")
 def _(spark, sf):
     vectors = embeddings.word2vec_fit(fx.docs(spark, sf), dim=16, iterations=1)
-    return vectors.select("word", F.posexplode("vector").alias("dim", "value"))
+    return vectors.select("word", F.posexplode_outer("vector").alias("dim", "value"))
 
 
 @query("word_clusters")

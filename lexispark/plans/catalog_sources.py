@@ -101,7 +101,7 @@ def _(spark, sf):
     header = words.agg(F.concat_ws(" ", F.count(F.lit(1)).cast("string"), F.lit(str(fx.DIM))).alias("value"))
     header.unionByName(lines).write.text(path)
     vectors = readers.read_word_vectors_text(spark, path, fx.DIM)
-    return fx.round6(vectors.select("word", F.posexplode("vector").alias("dim", "value")), "value")
+    return fx.round6(vectors.select("word", F.posexplode_outer("vector").alias("dim", "value")), "value")
 
 
 def _stored(spark, sf):
