@@ -12,7 +12,7 @@ from lexispark.plans import protocols
 from lexispark.plans.catalog_features import word_table
 from lexispark.plans.fixture import with_sql
 from lexispark.plans.registry import query
-from lexispark.session import new_folder, small_table
+from lexispark.session import new_folder, small_table, stage
 
 KEEP = ("review_id", "type")
 
@@ -129,14 +129,14 @@ def _labelled_vectors(spark, sf):
     means = embeddings.vector_average(cleaning.tokenized(reviews), word_table(spark, sf), fx.DIM, fx.STOP)
     labels = reviews.select("review_id", F.col("binary_rating").cast("double").alias("label"))
     rows = labels.join(means, "review_id").select("review_id", array_to_vector("vector").alias("features"), "label")
-    split = sampling.stratified_split(rows, "label", 0.2).cache()
+    split = stage(sampling.stratified_split(rows, "label", 0.2).hint("rebalance"), "labelled-vectors")
     return split.where("type = 'train'").drop("type"), split.where("type = 'test'").drop("type")
 
 
 @query("lasso_logistic_cv")
 def _(spark, sf):
     train, test = _labelled_vectors(spark, sf)
-    return models.predict_models({"glmnet": models.lasso_logistic_cv(train, folds=3, n_lambda=5)}, test)
+    return models.predict_models({"glmnet": models.lasso_logistic_cv(train, folds=3, n_lambda=3)}, test)
 
 
 @query("boosted_trees")

@@ -68,7 +68,7 @@ _STEMS_SQL = r"stems AS (SELECT DISTINCT word, regexp_replace(word, '^(.{3,}?)(i
 
 
 def _stems(docs):
-    words = docs.select(F.explode("tokens").alias("word")).distinct()
+    words = cleaning.words_of(docs, ()).distinct()
     return words.withColumn("word_stem", F.regexp_replace("word", "^(.{3,}?)(ing|ed|s)$", "$1"))
 
 
