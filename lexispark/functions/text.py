@@ -103,6 +103,15 @@ def round_prediction(c) -> Column:
     return F.bround(_col(c).cast("double"), 0).cast("int")
 
 
+def where_computed(df: DataFrame, condition: Column) -> DataFrame:
+    """Rows that meet a condition on an expensive computed column.
+
+    A plain filter would be pushed below the projection (and any shuffle under it), so that the column is
+    computed twice. A generator that yields one row or none stays where it is.
+    """
+    return df.select("*", F.explode(F.when(condition, F.array(F.lit(True)))).alias("_kept")).drop("_kept")
+
+
 def sorted_runs(df: DataFrame, items, keep: Iterable[str]) -> DataFrame:
     """`keep` columns, the array `items` in order (`_sorted`) and where its runs of equal values start (`_starts`).
 
@@ -123,8 +132,12 @@ def run_length(at: Column, k: Column) -> Column:
     return (F.coalesce(F.get("_starts", k + 1), F.size("_sorted")) - at).cast("long")
 
 
-def count_rows(df: DataFrame, items, keep: Iterable[str], term: str = "term") -> DataFrame:
-    """One row per distinct element of the array with its count: `keep, <term>, n`."""
+def count_rows(df: DataFrame, items, keep: Iterable[str], term: str = "term", outer: bool = False) -> DataFrame:
+    """One row per distinct element of the array with its count: `keep, <term>, n`.
+
+    With `outer`, an empty array gives one row with NULLs.
+    """
     keep = list(keep)
     runs = F.transform("_starts", lambda at, k: F.struct(F.get("_sorted", at), run_length(at, k)))
-    return sorted_runs(df, items, keep).select(*keep, F.inline(runs).alias(term, "n"))
+    generate = F.inline_outer if outer else F.inline
+    return sorted_runs(df, items, keep).select(*keep, generate(runs).alias(term, "n"))

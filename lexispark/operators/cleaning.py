@@ -100,10 +100,10 @@ def clean_reviews(
     keys = list(keys)
     words = literal_words(stopwords)
     if words is not None and not isinstance(stems, DataFrame):
-        docs = tokenized(reviews, words)
+        docs = tx.where_computed(tokenized(reviews, words).select(*keys, "tokens"), F.size("tokens") > 0)
         if stems is not False:
             docs = docs.withColumn("tokens", stem_tokens("tokens"))
-        return docs.where(F.size("tokens") > 0).select(*keys, "tokens", F.array_join("tokens", " ").alias("review_text"))
+        return docs.withColumn("review_text", F.array_join("tokens", " "))
     rows = token_rows(tokenized(reviews, words or ()), keys)
     if words is None:
         rows = remove_stopwords(rows, stopwords)

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexispark.functions.text import drop_words
+from lexispark.functions.text import drop_words, where_computed
 from lexispark.operators.cleaning import words_of
-from lexispark.operators.ranking import exact_quantiles
+from lexispark.operators.ranking import exact_quantiles, quantiles_of_counts
+from lexispark.session import stage
 
 FIVE_NUMBERS = {"min": 0.0, "q1": 0.25, "median": 0.5, "q3": 0.75, "max": 1.0}
 
@@ -31,15 +32,16 @@ def sentiment_word_count(docs: DataFrame, lexicon: DataFrame, sentiment: str) ->
 def distinct_words_per_review(docs: DataFrame, stopwords=()) -> DataFrame:
     """Distinct words per review (reviews without any drop out)."""
     n = F.size(F.array_distinct(drop_words("tokens", stopwords)))
-    return docs.select("review_id", n.cast("long").alias("n")).where("n > 0")
+    return where_computed(docs.select("review_id", n.cast("long").alias("n")), F.col("n") > 0)
 
 
 def distinct_words_summary(docs: DataFrame, stopwords=()) -> DataFrame:
     """Mean and median of `distinct_words_per_review`."""
     per_review = distinct_words_per_review(docs, stopwords)
-    merged = per_review.groupBy("n").agg(F.count(F.lit(1)).alias("reviews"))
-    mean = merged.agg((F.sum(F.col("n") * F.col("reviews")) / F.sum("reviews")).alias("m"))
-    return exact_quantiles(per_review, "n", {"median_n": 0.5}).select(
+    # one row per distinct count, so the text is read once for both figures
+    merged = stage(per_review.groupBy("n").agg(F.count(F.lit(1)).alias("rows")), "distinct-words")
+    mean = merged.agg(F.try_divide(F.sum(F.col("n") * F.col("rows")), F.sum("rows")).alias("m"))
+    return quantiles_of_counts(merged, "n", {"median_n": 0.5}).select(
         mean.scalar().cast("double").alias("mean_n"), "median_n"
     )
 

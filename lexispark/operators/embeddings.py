@@ -8,7 +8,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexispark.functions.text import drop_words
+from lexispark.functions.text import count_rows, drop_words
 from lexispark.operators.cleaning import words_of
 from lexispark.operators.ranking import assign_row_id
 
@@ -68,15 +68,16 @@ def word_cluster_join(tokens: DataFrame, clusters: DataFrame) -> DataFrame:
 def vector_average(docs: DataFrame, vectors: DataFrame, dim: int, stopwords=()) -> DataFrame:
     """`review_id, vector`: mean vector of a review's known, non-stop tokens, zeros where there is none.
 
-    Repeated tokens count each time; unknown ones do not dilute the mean. One sum per dimension keeps
-    the aggregation in fixed-width buffers, so each input partition sends one row per review.
+    Repeated tokens count each time; unknown ones do not dilute the mean. A review's tokens are counted in its row
+    before the join. One sum per dimension keeps the aggregation in fixed-width buffers.
     """
-    words = docs.select("review_id", F.explode_outer(drop_words("tokens", stopwords)).alias("word"))
+    words = count_rows(docs, drop_words("tokens", stopwords), ["review_id"], "word", outer=True)
     hits = words.join(vectors.select("word", "vector"), "word", "left")
+    n = F.when(F.col("vector").isNotNull(), F.col("n"))
     sums = hits.groupBy("review_id").agg(
-        F.count("vector").alias("_n"), *[F.sum(F.get("vector", F.lit(i)).cast("double")).alias(f"_{i}") for i in range(dim)]
+        F.sum(n).alias("_n"), *[F.sum(n * F.get("vector", F.lit(i))).alias(f"_{i}") for i in range(dim)]
     )
-    mean = F.array(*[F.coalesce(F.col(f"_{i}") / F.nullif(F.col("_n"), F.lit(0)), F.lit(0.0)) for i in range(dim)])
+    mean = F.array(*[F.coalesce(F.col(f"_{i}") / F.col("_n"), F.lit(0.0)) for i in range(dim)])
     return sums.select("review_id", mean.alias("vector"))
 
 
@@ -99,7 +100,8 @@ def cluster_centers(vectors: DataFrame, clusters: DataFrame, dim: int) -> DataFr
 
 def bag_of_centroids(docs: DataFrame, clusters: DataFrame) -> DataFrame:
     """`review_id, cluster, n`: tokens of a review per word cluster (raw counts)."""
-    return word_cluster_join(words_of(docs), clusters).groupBy("review_id", "cluster").agg(F.count(F.lit(1)).alias("n"))
+    words = count_rows(docs, "tokens", ["review_id"], "word")
+    return word_cluster_join(words, clusters).groupBy("review_id", "cluster").agg(F.sum("n").alias("n"))
 
 
 def frequent_words(docs: DataFrame, min_count: int = 1) -> DataFrame:

@@ -71,15 +71,17 @@ def assign_row_id(df: DataFrame, order_by: Sequence[str], name: str = "review_id
 def exact_quantiles(df: DataFrame, value: str, probs: dict[str, float], by: Sequence[str] = ()) -> DataFrame:
     """Exact interpolated quantiles (position (n-1)*p) per group; one output column per entry of `probs`.
 
-    Equal values are merged first, then the ranks come from `running_totals`, so no task ever
+    Equal values are merged first, then the ranks come from running totals, so no task ever
     holds all the values of a group.
     """
+    merged = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("rows"))
+    return quantiles_of_counts(merged, value, probs, by)
+
+
+def quantiles_of_counts(merged: DataFrame, value: str, probs: dict[str, float], by: Sequence[str] = ()) -> DataFrame:
+    """`exact_quantiles` of a table that has each value once per group, with its number of `rows`."""
     by = list(by)
-    merged = (
-        df.where(F.col(value).isNotNull())
-        .groupBy(*by, F.col(value).cast("double").alias("_value"))
-        .agg(F.count(F.lit(1)).alias("rows"))
-    )
+    merged = merged.select(*by, F.col(value).cast("double").alias("_value"), "rows")
     ranked = running_totals(merged, ["_value"], ["rows"], by)
     first = F.col("cum_rows") - F.col("rows")
 
