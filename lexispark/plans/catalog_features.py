@@ -11,6 +11,7 @@ from lexispark.plans import fixture as fx
 from lexispark.plans import protocols
 from lexispark.plans.fixture import bucket_sql, with_sql
 from lexispark.plans.registry import query
+from lexispark.session import stage
 
 _N = "(SELECT count(*) FROM docs)"
 
@@ -187,7 +188,8 @@ def word_table(spark, sf):
     vecs = fx.table(spark, sf, "embeddings").select(
         (F.col("vec_id") + 1).alias("word_no"), F.col("embedding").cast("array<double>").alias("vector"), F.col("label").alias("cluster")
     )
-    return words.join(vecs, "word_no").select("word_no", "word", "vector", "cluster")
+    # a vector table is a stored table: its size decides how it is joined
+    return stage(words.join(vecs, "word_no").select("word_no", "word", "vector", "cluster"), "word-vectors")
 
 
 @query(
