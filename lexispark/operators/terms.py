@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from lexispark.functions import text as tx
 from lexispark.operators.describe import normalize_by
+from lexispark.operators.joins import frequency_join
 from lexispark.operators.ranking import assign_row_id
 from lexispark.session import stage
 
@@ -74,7 +75,13 @@ def dtm_with_dictionary(docs: DataFrame, vocab: DataFrame, n_max: int = 2, keep:
 
 
 def align_vocabulary(test_terms: DataFrame, train_vocab: DataFrame) -> DataFrame:
-    """Triplets whose term is in the vocabulary; absent terms read as zero in sparse form."""
+    """Triplets whose term is in the vocabulary; absent terms read as zero in sparse form.
+
+    A vocabulary that brings its `doc_count` is joined by frequency, whatever its size.
+    """
+    if "doc_count" in train_vocab.columns:
+        vocab = train_vocab.select("term", "doc_count")
+        return frequency_join(test_terms, vocab, "term", "doc_count", "left_semi").select(*test_terms.columns)
     return test_terms.join(train_vocab.select("term"), "term", "left_semi").select(*test_terms.columns)
 
 
@@ -126,7 +133,7 @@ def tfidf(
     `idf` from another corpus may be given to weight new documents (fold-in).
     """
     idf = inverse_document_frequency(docs) if idf is None else idf
-    weighted = term_rank(docs, keep).join(idf.select("word", "idf"), "word")
+    weighted = frequency_join(term_rank(docs, keep), idf.select("word", "df", "idf"), "word", "df")
     out = weighted.withColumn("tf_idf", F.col("tf") * F.col("idf")).select(
         *keep, "word", "n", "rank", "total", "tf", "idf", "tf_idf"
     )

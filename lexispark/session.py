@@ -10,6 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
+_staged: list[str] = []
+
+
 def build_session(app: str = "lexispark", master: str | None = None, **conf) -> SparkSession:
     """A session with the settings the operators are written for (AQE on, UTC)."""
     settings = {
@@ -49,6 +52,14 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return os.path.join(shared_folder(spark), "lexispark", f"{name}-{uuid.uuid4().hex}")
 
 
+def drop_staged(spark: SparkSession) -> None:
+    """Delete the tables this process has staged, once their readers are done."""
+    jvm, hadoop = spark._jvm, spark._jsc.hadoopConfiguration()
+    while _staged:
+        path = jvm.org.apache.hadoop.fs.Path(_staged.pop())
+        path.getFileSystem(hadoop).delete(path, True)
+
+
 def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
@@ -58,6 +69,7 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     """
     spark = df.sparkSession
     path = new_folder(spark, name)
+    _staged.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

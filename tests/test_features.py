@@ -6,9 +6,10 @@ from pyspark.ml.feature import CountVectorizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from lexispark.operators import cleaning, embeddings, latent, terms, topics
+from lexispark.operators import cleaning, embeddings, joins, latent, terms, topics
 from lexispark.plans import fixture as fx
 from lexispark.plans import protocols
+from lexispark.session import stage
 
 
 @pytest.fixture(scope="module")
@@ -170,3 +171,24 @@ def test_blind_protocol_aligns_columns(spark):
     assert {(r["review_id"], r["type"], r["word"]) for r in rows} == {("1", "train", "a"), ("1", "train", "b"), ("2", "test", "b")}
     mixed = protocols.protocol_mix(train, test, builder).collect()
     assert {(r["type"], r["word"]) for r in mixed} == {("train", "a"), ("train", "b"), ("test", "b"), ("test", "c")}
+
+
+def test_frequency_join_shuffles_only_rare_keys(spark, sf, monkeypatch):
+    docs = fx.docs(spark, sf)
+    counts = terms.doc_term_count(docs, word="term")
+    stats = stage(terms.term_statistics(counts))
+    whole = joins.frequency_join(counts, stats, "term", "doc_count")
+    assert whole.count() == counts.count()
+    split = joins.frequency_join(counts, stats, "term", "doc_count", hot_keys=500)
+    assert split.exceptAll(whole).count() == 0 and whole.exceptAll(split).count() == 0
+    cut = joins.frequency_cut(stats, "doc_count", 500)
+    assert stats.where(F.col("doc_count") >= cut).count() <= 500 < stats.where(F.col("doc_count") >= cut // 2).count()
+    semi = joins.frequency_join(counts, stats.where("doc_count > 1"), "term", "doc_count", "left_semi", hot_keys=500)
+    once = stats.where("doc_count = 1").count()
+    assert semi.count() == counts.count() - once
+    monkeypatch.setattr(joins, "HOT_KEY_CHARS", 3)  # long keys are never broadcast
+    assert joins.frequency_join(counts, stats, "term", "doc_count").count() == counts.count()
+    monkeypatch.undo()
+    reference = {(r["review_id"], r["word"], round(r["tf_idf"], 9)) for r in terms.tfidf(docs).collect()}
+    monkeypatch.setattr(joins, "HOT_KEYS", 100)
+    assert {(r["review_id"], r["word"], round(r["tf_idf"], 9)) for r in terms.tfidf(docs).collect()} == reference

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from lexispark.operators import cleaning, corpus, ranking, terms
+from lexispark.operators import cleaning, corpus, joins, ranking, terms
 from lexispark.plans import fixture as fx
 from lexispark.session import spread_scan, stage
 
@@ -42,18 +42,19 @@ def test_scan_reads_only_needed_columns(spark, sf):
     )
 
 
-def test_vocabulary_join_follows_its_size(spark, sf):
+def test_vocabulary_join_follows_its_size(spark, sf, monkeypatch):
     docs = cleaning.tokenized(scan(spark, sf), fx.STOP)
     vocab = terms.dtm_vocabulary(docs)
-    assert "BroadcastHashJoin" in plan(terms.dtm_with_dictionary(docs, vocab))
+    small = terms.dtm_with_dictionary(docs, vocab)
+    assert "BroadcastHashJoin" in plan(small) and "hashpartitioning" not in plan(small)
+    monkeypatch.setattr(joins, "HOT_KEYS", 50)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", 10)
     try:
         wide = terms.dtm_with_dictionary(docs, vocab)
-        assert "Broadcast" not in plan(wide)
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-        assert wide.exceptAll(terms.dtm_with_dictionary(docs, vocab)).count() == 0
+        assert "SortMergeJoin" in plan(wide) and "LeftAnti" in plan(wide)
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert wide.exceptAll(small).count() == 0 and wide.count() == small.count()
 
 
 def test_dedup_limits_groups_before_the_shuffle(spark, sf):

@@ -1,9 +1,10 @@
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from lexispark.operators import cleaning, runlog
-from lexispark.session import new_folder, shared_folder, stage
+from lexispark.session import drop_staged, new_folder, shared_folder, stage
 from lexispark.sources import readers, writers
 from lexispark.streaming import paged
 
@@ -90,6 +91,9 @@ def test_stage_uses_the_named_folder(spark):
     df = stage(spark.range(3), "probe")
     assert df.inputFiles()[0].replace("file:///", "/").startswith(shared_folder(spark).removeprefix("file://"))
     assert df.count() == 3
+    drop_staged(spark)
+    with pytest.raises(Exception, match="does not exist|FILE_NOT_EXIST|PATH_NOT_FOUND"):
+        spark.read.parquet(df.inputFiles()[0]).count()
 
 
 def test_durations(spark):
