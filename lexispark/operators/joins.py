@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# bounds of the broadcast side: at most this many keys of at most this many characters (some 20 MB)
-HOT_KEYS = 200_000
+# bounds of the broadcast side: at most this many keys of at most this many characters (some tens of MB)
+HOT_KEYS = 500_000
 HOT_KEY_CHARS = 64
 
 
@@ -33,11 +33,11 @@ def frequency_join(
     """
     limit = HOT_KEYS if hot_keys is None else hot_keys
     short = F.length(on) <= HOT_KEY_CHARS
+    size = table.agg(F.count(F.lit(1)).alias("keys"), F.count_if(~short).alias("long")).first()
+    if size["keys"] <= limit and not size["long"]:
+        return rows.join(F.broadcast(table), on, how)
     cut = frequency_cut(table.where(short), freq, limit)
     is_hot = short & (F.col(freq) >= cut)
     hot = F.broadcast(table.where(is_hot))
-    rare = table.where(~is_hot)
-    if rare.isEmpty():
-        return rows.join(hot, on, how)
     rest = rows.join(hot.select(on), on, "left_anti")
-    return rows.join(hot, on, how).unionByName(rest.join(rare, on, how))
+    return rows.join(hot, on, how).unionByName(rest.join(table.where(~is_hot), on, how))

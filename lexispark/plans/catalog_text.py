@@ -10,6 +10,7 @@ from lexispark.operators.runlog import stage_duration
 from lexispark.plans import fixture as fx
 from lexispark.plans.fixture import with_sql
 from lexispark.plans.registry import query
+from lexispark.plans.stem_sql import PORTER2_CTES
 
 def _text(spark, sf, column):
     return fx.documents(spark, sf).select("review_id", column.alias("review_text"))
@@ -81,10 +82,13 @@ def _(spark, sf):
     return cleaning.stem_words(rows, _stems(fx.docs(spark, sf)))
 
 
-@query("stem_words_english")
+@query(
+    "stem_words_english",
+    with_sql("SELECT review_id, CAST(pos AS INTEGER) AS pos, word, word_stem FROM kept JOIN english USING (word)", "kept", extra=PORTER2_CTES),
+)
 def _(spark, sf):
-    d = fx.docs(spark, sf)
-    return cleaning.stem_words(terms.doc_term_count(d)).groupBy("word_stem").agg(F.sum("n").alias("n"))
+    rows = cleaning.token_rows(fx.docs(spark, sf, ())).where(~F.col("word").isin(fx.STOP))
+    return cleaning.stem_words(rows)
 
 
 def _ngram_sql(rows: str) -> str:
@@ -152,7 +156,10 @@ def _(spark, sf):
     return cleaning.clean_reviews(fx.reviews(spark, sf), fx.stop_table(spark), stems=False).drop("tokens")
 
 
-@query("clean_reviews_english")
+@query(
+    "clean_reviews_english",
+    with_sql("SELECT review_id, string_agg(word_stem, ' ' ORDER BY pos) AS review_text FROM kept JOIN english USING (word) GROUP BY review_id", "kept", extra=PORTER2_CTES),
+)
 def _(spark, sf):
     return cleaning.clean_reviews(fx.documents(spark, sf), fx.STOP, keys=["review_id"]).drop("tokens")
 
