@@ -81,7 +81,12 @@ def model_matrix_no_intercept(df: DataFrame, label: str = "binary_rating") -> Da
 
 def filter_empty_documents(reviews: DataFrame, term_counts: DataFrame) -> DataFrame:
     """Reviews that have at least one counted term."""
-    return reviews.join(term_counts.select("review_id"), "review_id", "left_semi")
+    return reviews.join(reviews_of(term_counts), "review_id", "left_semi")
+
+
+def reviews_of(rows: DataFrame) -> DataFrame:
+    """Ids in term-level rows, reduced to one per review before they are shuffled."""
+    return rows.select("review_id").distinct()
 
 
 # --- joins by key ---
@@ -98,7 +103,7 @@ def bind_by_key(left: DataFrame, right: DataFrame) -> DataFrame:
 
 def align_labels(labels: DataFrame, features: DataFrame) -> DataFrame:
     """Labels whose review survived feature building, ordered by id as text."""
-    kept = labels.join(features.select("review_id"), "review_id", "left_semi")
+    kept = labels.join(reviews_of(features), "review_id", "left_semi")
     return order_by_id_string(kept)
 
 

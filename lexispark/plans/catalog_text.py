@@ -11,6 +11,7 @@ from lexispark.plans import fixture as fx
 from lexispark.plans.fixture import with_sql
 from lexispark.plans.registry import query
 from lexispark.plans.stem_sql import PORTER2_CTES
+from lexispark.session import stage
 
 def _text(spark, sf, column):
     return fx.documents(spark, sf).select("review_id", column.alias("review_text"))
@@ -70,7 +71,7 @@ _STEMS_SQL = r"stems AS (SELECT DISTINCT word, regexp_replace(word, '^(.{3,}?)(i
 
 def _stems(docs):
     words = cleaning.words_of(docs, ()).distinct()
-    return words.withColumn("word_stem", F.regexp_replace("word", "^(.{3,}?)(ing|ed|s)$", "$1"))
+    return stage(words.withColumn("word_stem", F.regexp_replace("word", "^(.{3,}?)(ing|ed|s)$", "$1")), "stems")
 
 
 @query(

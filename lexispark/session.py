@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 _staged: list[str] = []
+_local_folders: dict[str, str] = {}
 
 
 def build_session(app: str = "lexispark", master: str | None = None, **conf) -> SparkSession:
@@ -42,9 +43,10 @@ def shared_folder(spark: SparkSession) -> str:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = "file://" + tempfile.mkdtemp(prefix="lexispark-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    application = spark.sparkContext.applicationId
+    if application not in _local_folders:
+        _local_folders[application] = "file://" + tempfile.mkdtemp(prefix="lexispark-")
+    return _local_folders[application]
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
