@@ -2,15 +2,17 @@
 
 The rules follow M. Porter's published description of the English Snowball stemmer. Spark has no
 stemmer, so this is the one place where tokens pass through Python: in Arrow batches, with a cache
-of the words each worker has already seen.
+of the words the task has already seen.
 """
 
 from __future__ import annotations
 
 import re
-from functools import lru_cache
+import sys
+from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -99,7 +101,6 @@ def _derivation(w: str, r1: int, r2: int) -> str:
     return w
 
 
-@lru_cache(maxsize=1 << 18)
 def porter2(word: str) -> str:
     """Stem of one lower-case word."""
     if len(word) <= 2:
@@ -125,14 +126,32 @@ def porter2(word: str) -> str:
     return w.lower()
 
 
+class StemCache(dict):
+    """Stems of the words a task has seen; started afresh when it gets large."""
+
+    def __missing__(self, word: str) -> str:
+        if len(self) >= 1 << 18:
+            self.clear()
+        self[word] = stem = porter2(word)
+        return stem
+
+
+# workers need no copy of this package: the stemmer travels with the UDF
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
 @F.pandas_udf(T.ArrayType(T.StringType()))
-def _stem_arrays(tokens: pd.Series) -> pd.Series:
-    return tokens.map(lambda words: [porter2(w) for w in words])
+def _stem_arrays(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    stems = StemCache()
+    for tokens in batches:
+        yield tokens.map(lambda words: [stems[w] for w in words])
 
 
 @F.pandas_udf(T.StringType())
-def _stem_column(words: pd.Series) -> pd.Series:
-    return words.map(porter2)
+def _stem_column(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    stems = StemCache()
+    for words in batches:
+        yield words.map(lambda w: stems[w])
 
 
 def stem_tokens(tokens) -> Column:

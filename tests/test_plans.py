@@ -1,5 +1,9 @@
 """Plan properties that matter at scale."""
 
+import os
+import subprocess
+import sys
+
 from pyspark.sql import functions as F
 
 from lexispark.operators import cleaning, corpus, joins, ranking, terms
@@ -81,3 +85,20 @@ def test_spread_scan_leaves_wide_tables_alone(spark, sf):
 def test_staged_table_has_its_size(spark):
     staged = stage(spark.range(1000).withColumn("x", F.col("id") * 2))
     assert staged._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 100_000
+
+
+def test_workers_do_not_need_the_package(sf, tmp_path):
+    """Run from elsewhere, so that Python workers can not import the library."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    script = f"""
+import sys
+sys.path.insert(0, {root!r})
+from lexispark.session import build_session
+import __spark_entry__ as entry
+spark = build_session(master="local[2]", **{{"spark.ui.enabled": "false", "spark.sql.shuffle.partitions": "2"}})
+for name in ("clean_reviews_english", "stem_words_english", "cast_sparse", "lsa_foldin"):
+    assert entry.queries()[name](spark, {sf!r}).count() > 0, name
+"""
+    path = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", script], cwd=tmp_path, env=path, capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stderr[-2000:]
