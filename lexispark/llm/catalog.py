@@ -31,3 +31,10 @@ def op9_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     from lexispark.llm.token_counts import token_counts
 
     return token_counts(table(spark, sf, "documents"), tokenizer("word_bpe_49k.json"), limit=2048)
+
+
+@query
+def op4_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
+    from lexispark.llm.packing import pack_documents
+
+    return pack_documents(table(spark, sf, "documents"), tokenizer("byte_bpe_50k.json"), capacity=2048)
