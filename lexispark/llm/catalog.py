@@ -38,3 +38,10 @@ def op4_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
     from lexispark.llm.packing import pack_documents
 
     return pack_documents(table(spark, sf, "documents"), tokenizer("byte_bpe_50k.json"), capacity=2048)
+
+
+@query
+def op2_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
+    from lexispark.llm.pieces import encode_texts
+
+    return encode_texts(table(spark, sf, "documents"), tokenizer("piece_bpe_32k.model"), full=False)
