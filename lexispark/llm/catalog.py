@@ -45,3 +45,10 @@ def op2_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
     from lexispark.llm.pieces import encode_texts
 
     return encode_texts(table(spark, sf, "documents"), tokenizer("piece_bpe_32k.model"), full=False)
+
+
+@query
+def op10_simhash(spark: SparkSession, sf: str) -> DataFrame:
+    from lexispark.llm.simhash import near_duplicates
+
+    return near_duplicates(table(spark, sf, "documents"), size=3, budget=2)

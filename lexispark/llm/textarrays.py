@@ -44,10 +44,10 @@ def row_groups(lengths: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
         first = last
 
 
-def word_bounds(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end byte of every word ``[^\\x20\\x09-\\x0D]+`` in ``raw[at[0]:at[-1]]``, and word counts per row."""
+def word_bounds(raw: np.ndarray, at: np.ndarray, separator: np.ndarray = SEPARATOR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end byte of every word (run of bytes that don't separate) in ``raw[at[0]:at[-1]]``, and word counts per row."""
     lo, hi = int(at[0]), int(at[-1])
-    gap = SEPARATOR[raw[lo:hi]]
+    gap = separator[raw[lo:hi]]
     n = hi - lo
     if n == 0:
         return np.empty(0, np.int64), np.empty(0, np.int64), np.zeros(len(at) - 1, np.int64)
