@@ -52,3 +52,11 @@ def op10_simhash(spark: SparkSession, sf: str) -> DataFrame:
     from lexispark.llm.simhash import near_duplicates
 
     return near_duplicates(table(spark, sf, "documents"), size=3, budget=2)
+
+
+@query
+def op3_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    from lexispark.llm.toxicity import score
+
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return score(docs, table(spark, sf, "labels"), threshold=0.3).select("doc_id", "held_out", "score", "predicted")
