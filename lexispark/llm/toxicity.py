@@ -164,12 +164,17 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.
     return beta / scale
 
 
+def _likelihood(x: np.ndarray, y: np.ndarray, weight: np.ndarray, beta: np.ndarray) -> float:
+    z = x @ beta
+    return float((weight * (y * z - np.logaddexp(0, z))).sum())
+
+
 def _numpy(df: DataFrame) -> dict[str, np.ndarray]:
     table = df.toArrow()
     return {c: table.column(c).to_numpy() for c in table.column_names}
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 6_000, min_count: int = 8, min_share: float = 0.02, window: int = 24) -> Evidence:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 6_000, min_count: int = 12, min_share: float = 0.02, window: int = 24) -> Evidence:
     """The evidence tables and the curve, learned from labelled rows that are not held out.
 
     Expressions take part from ``min_count`` occurrences in a class on, or ``min_share`` of its rows if that is more:
@@ -253,7 +258,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     y = rest["toxic"].astype(float)
     if 0 < y.sum() < len(y):
         weight = np.where(y == 1, prior / y.mean(), (1 - prior) / (1 - y.mean()))
-        model.curve = logistic(_design(np.column_stack([rest["mean"], rest["top"]])), y, weight)
+        design = _design(np.column_stack([rest["mean"], rest["top"]]))
+        # more evidence never lowers a score: a part with a negative weight is left out
+        fits = [(use, logistic(design[:, use], y, weight)) for use in ([0, 1, 2], [0, 1], [0, 2], [0])]
+        fits = [(use, beta) for use, beta in fits if (beta[1:] >= 0).all()]
+        use, beta = max(fits, key=lambda x: _likelihood(design[:, x[0]], y, weight, x[1]))
+        model.curve = np.zeros(3)
+        model.curve[use] = beta
     return model
 
 
