@@ -100,3 +100,10 @@ FROM pg LEFT JOIN kept k USING (rn)
 
 
 LLM_ORACLES["op7_line_dedup"] = _line_sql()
+
+
+@query
+def op8_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    from lexispark.llm.substrings import remove_repeats
+
+    return remove_repeats(table(spark, sf, "documents"), size=13, digest_only=True)
