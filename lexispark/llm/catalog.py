@@ -107,3 +107,10 @@ def op8_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
     from lexispark.llm.substrings import remove_repeats
 
     return remove_repeats(table(spark, sf, "documents"), size=13, digest_only=True)
+
+
+@query
+def op6_suffix_array_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    from lexispark.llm.suffixes import remove_repeats
+
+    return remove_repeats(table(spark, sf, "documents"), size=50, digest_only=True)
