@@ -153,6 +153,7 @@ def top_k(
     if shards > 1:
         kth = first.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("s")).filter(F.col("n") >= k)
         known = queries.join(kth, F.col("id") == F.col("query_id"), "left").select("id", "dim", "v", "block", F.coalesce("s", F.lit(lowest)).alias("kth"))
+        known = stage(known, "kd-known")
         others = known.select("*", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard")).filter(F.col("shard") != home)
         rest_points = points.select("id", "dim", "v", "shard", everything).filter(F.col("shard") != home)
         both = first.unionByName(wave(others, rest_points))
