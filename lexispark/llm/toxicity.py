@@ -14,8 +14,8 @@ nothing. The lambdas give away just what the terms before them leave.
 A text's evidence is ln P_toxic - ln P_ordinary by word: the mean over the text and the largest mean over ``window``
 consecutive words. A logistic curve, fitted on labelled rows the counts have not seen, turns these two into the score.
 
-Only the labelled rows for the two models are bounded (``per_class`` rows of each class, as many of either, smallest
-hashes first); so are the tables that are sent to the tasks: at most the words of these rows that reach
+Only the labelled rows for the two models are bounded (``per_class`` rows of each class at most, smallest hashes
+first); so are the tables that are sent to the tasks: at most the words of these rows that reach
 the cut. The counts behind P_0 go over all documents.
 """
 
@@ -177,7 +177,7 @@ def _numpy(df: DataFrame) -> dict[str, np.ndarray]:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 6_000, min_count: int = 12, min_share: float = 0.02, window: int = 24) -> Evidence:
     """The evidence tables and the curve, learned from labelled rows that are not held out.
 
-    Expressions take part from ``min_count`` occurrences in a class on, or ``min_share`` of its rows if that is more:
+    Expressions take part from ``min_count`` occurrences in a class on, or ``min_share`` of the rows of the smaller class if that is more:
     below, which class they stand in is chance. Labels other than 0 and 1, null ids and null texts teach nothing. Without a row of both classes all scores are the
     share of toxic labels (or 0).
     """
@@ -188,12 +188,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     n0, n1 = shares.get(0, 0), shares.get(1, 0)
     prior = n1 / max(1, n0 + n1)
     nothing = Evidence(np.empty(0, U64), np.zeros(1), np.zeros(1), np.empty(0, np.int64), np.empty(0), np.array([np.log(max(prior, 1e-9) / max(1 - prior, 1e-9)), 0.0, 0.0]), window)
-    rows = min(n0, n1, per_class)
-    if rows < 2:
+    if min(n0, n1) < 2:
         return nothing
-    least = max(min_count, int(min_share * rows))
+    least = max(min_count, int(min_share * min(n0, n1, per_class)))
     # bounded: 2 * per_class ids
-    taken = [own.filter(F.col("toxic") == c).orderBy(F.xxhash64("id"), "id").limit(rows) for c in (0, 1)]
+    taken = [own.filter(F.col("toxic") == c).orderBy(F.xxhash64("id"), "id").limit(per_class) for c in (0, 1)]
     sample = stage(base.join(F.broadcast(taken[0].union(taken[1])), "id").select("id", "toxic", "text"), "toxicity-sample")
     # a third of the rows is kept for the curve
     fold = F.pmod(F.xxhash64("id", F.lit("curve")), F.lit(3))
