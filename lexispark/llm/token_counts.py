@@ -34,7 +34,7 @@ class Counter:
 
     def _learn(self, pieces: list[str]) -> None:
         """Lengths of new pieces; letters followed by one full stop or comma are two pieces for the pre-tokenizer."""
-        stems = {piece: piece[:-1] for piece in pieces if piece[-1:] in (".", ",") and piece[:-1].isalpha()}
+        stems = {piece: piece[:-1] for piece in pieces if piece[-1:] in (".", ",") and _letters(piece[:-1])}
         whole = {stems.get(piece, piece) for piece in pieces} | {".", ","}
         for call in balanced([piece for piece in whole if piece not in self.known], CALL_BYTES):
             for piece, code in zip(call, self.tokenizer.encode_batch_fast(call, add_special_tokens=False)):
@@ -52,6 +52,11 @@ class Counter:
         return [sum(map(known.__getitem__, pieces)) for pieces in cut]
 
 
+def _letters(stem: str) -> bool:
+    """Whether ``stem`` is letters also after composition and lower case; some letters of other blocks fall into letter and mark."""
+    return stem.isalpha() and stem[-1] < "\u0250" and stem.lower().isalpha()
+
+
 def _pieces(text: str | None) -> list[str]:
     """The parts of a text between ASCII spaces, tabs and line ends; empty parts go."""
     if not text:
