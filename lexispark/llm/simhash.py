@@ -101,8 +101,7 @@ def trie_pairs(prints: np.ndarray, budget: int, free: int = 0) -> tuple[np.ndarr
         return none, none
     lo1, hi1, lo2, hi2, errors = (np.array([x]) for x in (0, n, 0, n, 0))
     found: list[tuple[np.ndarray, np.ndarray]] = []
-    for level in range(64):
-        shift = U64(63 - level)
+    for level in range(65):
         single = (hi1 - lo1 == 1) & (hi2 - lo2 == 1)
         if single.any():
             a, b = lo1[single], lo2[single]
@@ -112,8 +111,10 @@ def trie_pairs(prints: np.ndarray, budget: int, free: int = 0) -> tuple[np.ndarr
                 good &= (prints[a] >> U64(64 - free)) == (prints[b] >> U64(64 - free))
             found.append((np.minimum(a, b)[good], np.maximum(a, b)[good]))
             lo1, hi1, lo2, hi2, errors = (x[~single] for x in (lo1, hi1, lo2, hi2, errors))
-        if not len(lo1):
+        # below the last level nodes are single fingerprints, as these are distinct
+        if not len(lo1) or level == 64:
             break
+        shift = U64(63 - level)
         ones = np.concatenate([[0], np.cumsum((prints >> shift) & U64(1)).astype(np.int64)])
         # inside a node the bit is 0 first, then 1
         mid1, mid2 = hi1 - (ones[hi1] - ones[lo1]), hi2 - (ones[hi2] - ones[lo2])
@@ -132,7 +133,6 @@ def trie_pairs(prints: np.ndarray, budget: int, free: int = 0) -> tuple[np.ndarr
             parts.append(tuple(x[use] for x in (a, b, c, d, e)))
         lo1, hi1, lo2, hi2, errors = (np.concatenate(x) for x in zip(*parts))
     a, b = (np.concatenate(x) for x in zip(*found)) if found else (none, none)
-    # what is left after the last level are pairs of equal fingerprints, which sorted distinct input has not
     return a, b
 
 
