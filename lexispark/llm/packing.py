@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from lexispark.llm.token_counts import balanced
 from lexispark.session import stage
 
-KNOWN_PIECES = 700_000  # encoded pieces of text kept by a worker
+KNOWN_PIECES = 400_000  # encoded parts in each of the two generations a worker keeps
 CALL_BYTES = 1 << 18
 SHARD_PIECES = 4096
 
@@ -55,7 +55,21 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.model = self.tokenizer.model
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
+        self.ends = dict(zip(".,", self._encode([".", ","])))
+        # the vocabulary spells bytes as characters, most as themselves; the rest by the next ones from 256 on
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        other = [b for b in range(256) if b not in plain]
+        self.spelling = [chr(b if b in plain else 256 + other.index(b)) for b in range(256)]
+
+    def _word(self, word: str) -> bytes:
+        """Ids of a space and ``word``, which the pre-tokenizer doesn't cut."""
+        space = self.spelling[32]
+        spelled = space + (word if word.isascii() else "".join([self.spelling[b] for b in word.encode()]))
+        ids = [token.id for token in self.model.tokenize(spelled)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         out = []
@@ -63,23 +77,34 @@ class Encoder:
             out += [struct.pack(f"<{len(x)}I", *x.ids) for x in self.tokenizer.encode_batch_fast(call, add_special_tokens=False)]
         return out
 
-    def _learn(self, parts: list[str]) -> None:
-        """``parts`` come without their leading space; letters and one comma or full stop after them are two units."""
-        stems = {part: part[:-1] for part in parts if part[-1:] in (".", ",") and part[:-1].isalpha()}
-        whole = [x for x in {stems.get(part, part) for part in parts} if x not in self.known]
-        self.known.update(zip(whole, self._encode([" " + x for x in whole])))
-        if stems:
-            ends = dict(zip(".,", self._encode([".", ","])))
-            for part, stem in stems.items():
-                self.known[part] = self.known[stem] + ends[part[-1]]
+    def _learn(self, parts: set[str]) -> None:
+        """``parts`` come without their leading space; letters and one comma or full stop after them are two units.
+
+        Letters of the Latin blocks are a unit for sure, so their merges are asked for directly."""
+        known, before, rest = self.known, self.before, []
+        for part in parts:
+            code = before.get(part)
+            if code is None:
+                end = part[-1:]
+                word = part[:-1] if end in self.ends else part
+                if word.isalpha() and max(word) < "\u0250":
+                    code = known.get(word) or before.get(word) or self._word(word)
+                    if word is not part:
+                        known[word] = code
+                        code += self.ends[end]
+                else:
+                    rest.append(part)
+                    continue
+            known[part] = code
+        known.update(zip(rest, self._encode([" " + part for part in rest])))
 
     def ids(self, texts: list[str]) -> list[bytes]:
         cut = [None if _UNSAFE.search(text) else text.split(" ") for text in texts]
         if len(self.known) > KNOWN_PIECES:
-            self.known.clear()
+            self.known, self.before = {}, self.known
         known = self.known
         fresh = {part for parts in cut if parts for part in parts[1:] if part not in known}
-        self._learn(list(fresh))
+        self._learn(fresh)
         first = self._encode([text if parts is None else parts[0] for text, parts in zip(texts, cut)])
         return [
             head if parts is None else head + b"".join(map(known.__getitem__, parts[1:]))
