@@ -2,11 +2,12 @@
 
 Windows of texts are far too many for a row each. A task gathers the keys of a block of documents, settles what the
 block itself shows (of equal keys only the smallest document's are sent on) and emits one row per bucket of
-key values. A bucket sorts its keys and answers with bits, one per key, in a row for each document
-with an answer. So a key in a third of all documents reaches its bucket once per block, never once per document.
+key values. A bucket sorts its keys and answers with bits, one per key, in one row for each part of the documents; a part
+holds the documents of one value of a hash. So a key in a third of all documents reaches its bucket once per
+block, never once per document, and neither way has a row per document or key.
 
 The bits of a document and bucket follow the order of its keys; whoever has the text computes the same keys again
-(``bucket_order``) and reads its answers (``answers_of``).
+(``bucket_order``) and reads its answers (``flags_of``).
 """
 
 from __future__ import annotations
@@ -18,19 +19,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexispark.llm.shipping import ship
 from lexispark.llm.textarrays import U64, group_of, group_starts
 
-BLOCK_KEYS = 3_000_000  # keys a task gathers before it sends
-BUCKET_KEYS = 3_000_000  # keys of a bucket, about
-ID, ROW = "__llm_id", "__llm_row"
+BLOCK_KEYS = 1_000_000  # keys a task gathers before it sends
+BUCKET_KEYS = 1_000_000  # keys of a bucket, about
+PART_BYTES = 4 << 20  # text of a part, about
+ID, ROW, PART = "__llm_id", "__llm_row", "__llm_part"
 REQUEST = "bucket int, ids binary, rows binary, counts binary, sent binary, local binary, keys binary"
-ANSWER = f"{ID} long, {ROW} long, bucket int, bits binary"
+ANSWER = f"{PART} long, bucket int, ids binary, rows binary, sizes binary, bits binary"
 
 
-def addressed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``docs`` with the address of each row: its id and a hash of id and text (rows that share both share all answers)."""
+def addressed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int, int]:
+    """``docs`` with the address of each row, the bytes of all texts and the number of parts.
+
+    The address is the id with a hash of id and text (rows that share both share all answers), and the part they fall into.
+    """
+    ship(docs.sparkSession)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.withColumns({ID: F.col(id_col).cast("long"), ROW: F.xxhash64(F.col(id_col).cast("long"), text), "__llm_text": text})
+    base = docs.withColumns({ID: F.col(id_col).cast("long"), ROW: F.xxhash64(F.col(id_col).cast("long"), text), "__llm_text": text})
+    total = int(base.select(F.sum(F.octet_length("__llm_text"))).first()[0] or 0)
+    parts = max(1, -(-total // PART_BYTES))
+    return base.withColumn(PART, F.pmod(ROW, F.lit(parts)).cast("long")), total, parts
 
 
 def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
@@ -94,24 +104,55 @@ class Block:
         return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds)], names=["bucket", "ids", "rows", "counts", "sent", "local", "keys"])
 
 
-def answer_rows(bucket: int, ids: np.ndarray, rows: np.ndarray, counts: np.ndarray, flags: np.ndarray) -> list[tuple]:
-    """(id, row, bucket, bits) of the documents with any flag set; ``counts`` flags each, in order."""
-    ends = np.cumsum(counts)
-    total = np.concatenate([[0], np.cumsum(flags)])
-    some = np.flatnonzero(total[ends] > total[ends - counts])
-    return [
-        (i, r, bucket, np.packbits(flags[a:b]).tobytes())
-        for i, r, a, b in zip(ids[some].tolist(), rows[some].tolist(), (ends - counts)[some].tolist(), ends[some].tolist())
-    ]
+class Replies:
+    """Answers of one bucket, packed by the parts of the documents."""
+
+    def __init__(self, bucket: int, parts: int):
+        self.bucket, self.parts = bucket, parts
+        self.ids, self.rows, self.bits = [], [], []
+
+    def add(self, ids: np.ndarray, rows: np.ndarray, counts: np.ndarray, flags: np.ndarray) -> None:
+        """``flags`` of some documents, ``counts`` each in order; documents without a flag need no answer."""
+        ends = np.cumsum(counts)
+        total = np.concatenate([[0], np.cumsum(flags)])
+        some = np.flatnonzero(total[ends] > total[ends - counts])
+        self.ids.append(ids[some])
+        self.rows.append(rows[some])
+        self.bits += [np.packbits(flags[a:b]).tobytes() for a, b in zip((ends - counts)[some].tolist(), ends[some].tolist())]
+
+    def table(self) -> pa.Table:
+        ids, rows = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (self.ids, self.rows))
+        part = np.mod(rows, self.parts)
+        order = np.argsort(part, kind="stable")
+        heads = group_starts(part[order])
+        out = []
+        for a, b in zip(heads, [*heads[1:], len(order)]):
+            own = order[a:b]
+            bits = [self.bits[i] for i in own]
+            sizes = np.array([len(x) for x in bits], np.int32)
+            out.append((int(part[own[0]]), self.bucket, ids[own].tobytes(), rows[own].tobytes(), sizes.tobytes(), b"".join(bits)))
+        columns = list(zip(*out)) or [()] * 6
+        kinds = [pa.int64(), pa.int32(), *[pa.binary()] * 4]
+        return pa.table([pa.array(list(c), t) for c, t in zip(columns, kinds)], names=[PART, "bucket", "ids", "rows", "sizes", "bits"])
+
+
+def replies_of(t: pa.Table) -> dict[tuple[int, int], list[tuple[int, bytes]]]:
+    """(bucket, bits) pairs by document address of the packed answers of a part."""
+    out: dict[tuple[int, int], list[tuple[int, bytes]]] = {}
+    for bucket, ids, rows, sizes, bits in zip(*(t.column(c).to_pylist() for c in ("bucket", "ids", "rows", "sizes", "bits"))):
+        at = 0
+        for i, r, n in zip(np.frombuffer(ids, np.int64).tolist(), np.frombuffer(rows, np.int64).tolist(), np.frombuffer(sizes, np.int32).tolist()):
+            out.setdefault((i, r), []).append((bucket, bits[at : at + n]))
+            at += n
+    return out
 
 
-def answer_table(rows: list[tuple]) -> pa.Table:
-    columns = list(zip(*rows)) or [()] * 4
-    return pa.table([pa.array(list(c), t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.binary()))], names=[ID, ROW, "bucket", "bits"])
+def addresses(t: pa.Table) -> list[tuple[int | None, int]]:
+    return list(zip(t.column(ID).to_pylist(), t.column(ROW).to_pylist()))
 
 
-def ask(docs: DataFrame, keys_of: Callable[[pa.Array], Iterator[tuple[int, int, np.ndarray, np.ndarray]]], buckets: int, earlier: bool) -> DataFrame:
-    """Answers (id, row, bucket, bits) for the keys of addressed ``docs``.
+def ask(docs: DataFrame, keys_of: Callable[[pa.Array], Iterator[tuple[int, int, np.ndarray, np.ndarray]]], buckets: int, parts: int, earlier: bool) -> DataFrame:
+    """Packed answers for the keys of addressed ``docs``.
 
     ``keys_of`` yields (first row, last row, keys per row, keys) for a column of texts. A bit is set if the key stands in a
     document with a smaller id (``earlier``) or in one with another id. Rows without id neither ask nor answer.
@@ -130,47 +171,40 @@ def ask(docs: DataFrame, keys_of: Callable[[pa.Array], Iterator[tuple[int, int,
             yield rest
 
     def settle(t: pa.Table) -> pa.Table:
-        parts = []
+        asked = []
         for x in t.to_pylist():
             ids, rows = np.frombuffer(x["ids"], np.int64), np.frombuffer(x["rows"], np.int64)
             counts = np.frombuffer(x["counts"], np.int32).astype(np.int64)
             n = int(counts.sum())
             sent = np.unpackbits(np.frombuffer(x["sent"], np.uint8), count=n).astype(bool)
             local = np.unpackbits(np.frombuffer(x["local"], np.uint8), count=n).astype(bool)
-            parts.append((ids, rows, counts, sent, local, np.frombuffer(x["keys"], U64), np.repeat(ids, counts)[sent]))
-        low, high = first_documents(np.concatenate([p[5] for p in parts]), np.concatenate([p[6] for p in parts]))
-        owner = np.concatenate([p[6] for p in parts])
+            asked.append((ids, rows, counts, sent, local, np.frombuffer(x["keys"], U64), np.repeat(ids, counts)[sent]))
+        low, high = first_documents(np.concatenate([p[5] for p in asked]), np.concatenate([p[6] for p in asked]))
+        owner = np.concatenate([p[6] for p in asked])
         hit = owner > low if earlier else low != high
-        out, at, bucket = [], 0, t.column("bucket")[0].as_py()
-        for ids, rows, counts, sent, local, keys, _ in parts:
+        replies, at = Replies(t.column("bucket")[0].as_py(), parts), 0
+        for ids, rows, counts, sent, local, keys, _ in asked:
             flags = local.copy()
             flags[sent] |= hit[at : at + len(keys)]
             at += len(keys)
-            out += answer_rows(bucket, ids, rows, counts, flags)
-        return answer_table(out)
+            replies.add(ids, rows, counts, flags)
+        return replies.table()
 
     plain = docs.select(ID, ROW, "__llm_text").filter(F.col(ID).isNotNull())
     return plain.mapInArrow(request, REQUEST).groupBy("bucket").applyInArrow(settle, ANSWER)
 
 
-def with_answers(docs: DataFrame, answers: DataFrame, name: str) -> DataFrame:
-    """``docs`` with the array ``name`` of (bucket, bits), null for none."""
-    lists = answers.groupBy(F.col(ID).alias("__a_id"), F.col(ROW).alias("__a_row")).agg(F.collect_list(F.struct("bucket", "bits")).alias(name))
-    return docs.join(lists.hint("shuffle_hash"), (F.col(ID) == F.col("__a_id")) & (F.col(ROW) == F.col("__a_row")), "left").drop("__a_id", "__a_row")
-
-
-def answers_of(column: pa.Array, counts: np.ndarray, buckets: np.ndarray) -> np.ndarray:
-    """The bits of ``column`` (lists of (bucket, bits)) for keys of rows (``counts`` each) that fall into ``buckets``, in key order."""
+def flags_of(answers: list[list[tuple[int, bytes]]], counts: np.ndarray, buckets: np.ndarray) -> np.ndarray:
+    """The bits of ``answers`` (a list for each row) for keys of rows (``counts`` each) that fall into ``buckets``, in key order."""
     flags = np.zeros(len(buckets), bool)
     at = 0
-    for answer, n in zip(column, counts.tolist()):
-        answer = answer.as_py()
+    for answer, n in zip(answers, counts.tolist()):
         if answer and n:
             own = buckets[at : at + n]
             order = bucket_order(own)
             ordered = own[order]
-            for x in answer:
-                lo, hi = np.searchsorted(ordered, [x["bucket"], x["bucket"] + 1])
-                flags[at + order[lo:hi]] |= np.unpackbits(np.frombuffer(x["bits"], np.uint8), count=hi - lo).astype(bool)
+            for bucket, bits in answer:
+                lo, hi = np.searchsorted(ordered, [bucket, bucket + 1])
+                flags[at + order[lo:hi]] |= np.unpackbits(np.frombuffer(bits, np.uint8), count=hi - lo).astype(bool)
         at += n
     return flags

@@ -15,10 +15,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexispark.llm.exchange import BUCKET_KEYS, addressed, answers_of, ask, bucket_of, with_answers
+from lexispark.llm.exchange import BUCKET_KEYS, ID, PART, ROW, addressed, addresses, ask, bucket_of, flags_of, replies_of
 from lexispark.llm.textarrays import U64, mix, row_groups, text_buffers, window_hashes, word_bounds, word_hashes
 
-SLICE_BYTES = 1 << 22
+SLICE_BYTES = 1 << 20
 
 
 def _windows(column: pa.Array, size: int) -> Iterator[tuple]:
@@ -51,52 +51,53 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     words and lose none. Of texts with the same id none is smaller; a row without id is left whole and counts
     nowhere. Repeated rows give equal results. Columns of the names above are replaced.
     """
-    base = addressed(docs, id_col, text_col)
-    total = base.select(F.sum(F.octet_length("__llm_text"))).first()[0] or 0
-    buckets = max(1, -(-int(total) // (6 * BUCKET_KEYS)))  # about six bytes to a word
+    base, total, parts = addressed(docs, id_col, text_col)
+    buckets = max(1, -(-total // (6 * BUCKET_KEYS)))  # about six bytes to a word
 
     def keys_of(column: pa.Array):
         for first, last, own, keys, *_ in _windows(column, size):
             yield first, last, own, keys
 
-    answers = ask(base, keys_of, buckets, earlier=True)
+    answers = ask(base, keys_of, buckets, parts, earlier=True)
     added = ["n_words", "n_removed", "kept_sha256", "spans"]
     names = [c for c in docs.columns if c not in added and (not digest_only or c == id_col) and c != text_col]
-    joined = with_answers(base.select(*[F.col(f"`{c}`") for c in names], "__llm_id", "__llm_row", "__llm_text"), answers, "__llm_answers")
-    picked = joined.select(*[F.col(f"`{c}`") for c in names], "__llm_text", "__llm_answers")
-    k = len(names)
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n_words, n_removed, digests, texts, spans = [], [], [], [], []
-            for first, last, own, keys, raw, starts, ends, words in _windows(batch.column(k), size):
-                marks = answers_of(batch.column(k + 1).slice(first, last - first), own, bucket_of(keys, buckets))
-                w = m = 0
-                for n, windows in zip(words.tolist(), own.tolist()):
-                    gone = covered(marks[m : m + windows], size, n)
-                    keep = np.flatnonzero(~gone) + w
-                    # single-spaced neighbours are copied as one slice
-                    kept = _joined(raw, starts[keep], ends[keep])
-                    n_words.append(n)
-                    n_removed.append(n - len(keep))
-                    digests.append(hashlib.sha256(kept).hexdigest())
-                    if not digest_only:
-                        texts.append(kept.decode())
-                        edge = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]])))
-                        spans.append([{"first": int(a), "words": int(b - a)} for a, b in zip(edge[::2], edge[1::2])])
-                    w, m = w + n, m + windows
-            columns = [*batch.columns[:k], pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digests, pa.string())]
-            labels = [*names, "n_words", "n_removed", "kept_sha256"]
-            if not digest_only:
-                columns += [pa.array(texts, pa.string()), pa.array(spans, pa.list_(pa.struct([("first", pa.int64()), ("words", pa.int64())])))]
-                labels += [text_col, "spans"]
-            yield pa.RecordBatch.from_arrays(columns, names=labels)
-
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema[:k])
+    picked = base.select(*[F.col(f"`{c}`") for c in names], "__llm_text", ID, ROW, PART)
+
+    def cut(key: tuple, own_docs: pa.Table, replies: pa.Table) -> pa.Table:
+        known = replies_of(replies)
+        lists = [known.get(a, []) for a in addresses(own_docs)]
+        own_docs = own_docs.combine_chunks()
+        column = own_docs.column("__llm_text")
+        column = column.chunk(0) if column.num_chunks else pa.array([], pa.string())
+        n_words, n_removed, digests, texts, spans = [], [], [], [], []
+        for first, last, own, keys, raw, starts, ends, words in _windows(column, size):
+            marks = flags_of(lists[first:last], own, bucket_of(keys, buckets))
+            w = m = 0
+            for n, windows in zip(words.tolist(), own.tolist()):
+                gone = covered(marks[m : m + windows], size, n)
+                keep = np.flatnonzero(~gone) + w
+                kept = _joined(raw, starts[keep], ends[keep])
+                n_words.append(n)
+                n_removed.append(n - len(keep))
+                digests.append(hashlib.sha256(kept).hexdigest())
+                if not digest_only:
+                    texts.append(kept.decode())
+                    edge = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]])))
+                    spans.append([{"first": int(a), "words": int(b - a)} for a, b in zip(edge[::2], edge[1::2])])
+                w, m = w + n, m + windows
+        out = own_docs.select(names) if names else pa.table({})
+        for name, values, kind in (("n_words", n_words, pa.int64()), ("n_removed", n_removed, pa.int64()), ("kept_sha256", digests, pa.string())):
+            out = out.append_column(name, pa.array(values, kind))
+        if not digest_only:
+            out = out.append_column(text_col, pa.array(texts, pa.string()))
+            out = out.append_column("spans", pa.array(spans, pa.list_(pa.struct([("first", pa.int64()), ("words", pa.int64())]))))
+        return out
+
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema[: len(names)])
     extra = ["n_words long", "n_removed long", "kept_sha256 string"]
     if not digest_only:
         extra += [f"`{text_col}` string", "spans array<struct<first:long,words:long>>"]
-    return picked.mapInArrow(cut, ", ".join([ddl, *extra]) if ddl else ", ".join(extra))
+    return picked.groupBy(PART).cogroup(answers.groupBy(PART)).applyInArrow(cut, ", ".join([ddl, *extra] if ddl else extra))
 
 
 def _joined(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> bytes:

@@ -24,15 +24,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexispark.llm.exchange import (
-    ANSWER, BUCKET_KEYS, ID, ROW, addressed, answer_rows, answer_table, answers_of, ask, bucket_of, bucket_order, first_documents, with_answers,
+    ANSWER, BUCKET_KEYS, ID, PART, ROW, Replies, addressed, addresses, ask, bucket_of, bucket_order, first_documents, flags_of, replies_of,
 )
 from lexispark.llm.substrings import covered
 from lexispark.llm.textarrays import U64, group_of, group_starts, mix, row_groups, text_buffers, window_hashes, window_min
 from lexispark.session import stage
 
 GRAM = 24
-SLICE_BYTES = 1 << 21  # bytes looked at together; longer texts are cut at multiples of it
-BLOCK_BYTES = 96 << 20  # stretches a task gathers before it sends
+SLICE_BYTES = 1 << 19  # bytes looked at together; longer texts are cut at multiples of it
+BUCKET_BYTES = 6 << 20  # text for each bucket of stretches
+CHUNK_BYTES = 1 << 19  # bytes that have an index or a hash term at once
 STRETCHES = "bucket int, ids binary, rows binary, counts binary, windows binary, sent binary, local binary, lengths binary, bytes binary"
 
 
@@ -77,21 +78,36 @@ class Runs:
 
 def _runs(column: pa.Array, size: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, Runs]]:
     raw, at = text_buffers(column)
-    for first, last in row_groups(np.diff(at), 2 * SLICE_BYTES):
+    for first, last in row_groups(np.diff(at), SLICE_BYTES):
         yield first, last, raw, at[first : last + 1], Runs(raw, at[first : last + 1], size)
 
 
 def _bytes_at(raw: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    lead = np.cumsum(lengths) - lengths
-    return raw[np.arange(int(lengths.sum())) + np.repeat(starts - lead, lengths)]
+    """The given stretches of ``raw`` one after another."""
+    out = np.empty(int(lengths.sum()), np.uint8)
+    done = 0
+    for first, last in row_groups(lengths, CHUNK_BYTES):
+        own = lengths[first:last]
+        lead = np.cumsum(own) - own
+        piece = raw[np.arange(int(own.sum())) + np.repeat(starts[first:last] - lead, own)]
+        out[done : done + len(piece)] = piece
+        done += len(piece)
+    return out
 
 
 def _stretch_hashes(data: np.ndarray, lengths: np.ndarray, salt: int) -> np.ndarray:
     """A hash of each of consecutive byte strings."""
-    lead = np.cumsum(lengths) - lengths
-    place = np.arange(len(data)) - np.repeat(lead, lengths)
-    weights = mix(np.arange(1, int(lengths.max()) + 1, dtype=U64) + U64(salt)) | U64(1) if len(lengths) else np.empty(0, U64)
-    return mix(np.add.reduceat((data.astype(U64) + U64(1)) * weights[place], lead) + lengths.astype(U64)) if len(lengths) else np.empty(0, U64)
+    out = np.empty(len(lengths), U64)
+    weights = mix(np.arange(1, int(lengths.max(initial=0)) + 1, dtype=U64) + U64(salt)) | U64(1)
+    done = 0
+    for first, last in row_groups(lengths, CHUNK_BYTES):
+        own = lengths[first:last]
+        lead = np.cumsum(own) - own
+        n = int(own.sum())
+        place = np.arange(n) - np.repeat(lead, own)
+        out[first:last] = np.add.reduceat((data[done : done + n].astype(U64) + U64(1)) * weights[place], lead)
+        done += n
+    return mix(out + lengths.astype(U64))
 
 
 def radix_groups(data: np.ndarray, starts: np.ndarray, ids: np.ndarray, size: int) -> np.ndarray:
@@ -128,18 +144,24 @@ def radix_groups(data: np.ndarray, starts: np.ndarray, ids: np.ndarray, size: in
     return low
 
 
-def _ask_stretches(docs: DataFrame, size: int, anchor_buckets: int, buckets: int, name: str) -> DataFrame:
-    """Answers (id, row, bucket, bits by window) for the shared anchors of ``docs``, which carry their answers ``name``."""
+def _text_column(t: pa.Table) -> pa.Array:
+    column = t.combine_chunks().column("__llm_text")
+    return column.chunk(0) if column.num_chunks else pa.array([], pa.string())
 
-    def request(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _ask_stretches(docs: DataFrame, found: DataFrame, size: int, anchor_buckets: int, buckets: int, parts: int) -> DataFrame:
+    """Packed answers with a bit by window, for the anchors of ``docs`` that are shared as ``found`` says."""
+    names = [x.split()[0] for x in STRETCHES.split(", ")]
+    kinds = [pa.int32(), *[pa.binary()] * 8]
+    nothing = pa.table([pa.array([], t) for t in kinds], names=names)
+
+    def request(key: tuple, own_docs: pa.Table, replies: pa.Table) -> pa.Table:
+        # a row without id has no answers, as it never asked
+        known = replies_of(replies)
         held: list[tuple] = []
-        total = 0
 
-        def emit() -> pa.RecordBatch | None:
+        def emit() -> pa.Table:
             ids, rows, counts, windows, keys, data = (np.concatenate(x) for x in zip(*held))
-            held.clear()
-            if not len(keys):
-                return None
             lengths = windows + size - 1
             doc = np.repeat(np.arange(len(ids)), counts)
             same = _stretch_hashes(data, lengths, 7) ^ (keys * U64(3))
@@ -161,33 +183,24 @@ def _ask_stretches(docs: DataFrame, size: int, anchor_buckets: int, buckets: int
                     np.packbits(sent[own]).tobytes(), np.packbits(local[own]).tobytes(), lengths[go].astype(np.uint8).tobytes(),
                     _bytes_at(data, begin[go], lengths[go]).tobytes(),
                 ))
-            kinds = [pa.int32(), *[pa.binary()] * 8]
-            names = [x.split()[0] for x in STRETCHES.split(", ")]
-            return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out), kinds)], names=names)
-
-        for batch in batches:
-            ids, rows = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for first, last, raw, _, runs in _runs(batch.column(2), size):
-                shared = answers_of(batch.column(3).slice(first, last - first), runs.counts, bucket_of(runs.keys, anchor_buckets))
-                if not shared.any():
-                    continue
-                counts = np.add.reduceat(np.append(shared, False).astype(np.int64), np.cumsum(runs.counts) - runs.counts) * (runs.counts > 0)
-                some = np.flatnonzero(counts)
-                windows, start = runs.windows[shared], runs.start[shared]
-                data = _bytes_at(raw, start, windows + size - 1)
-                held.append((ids[first:last][some], rows[first:last][some], counts[some], windows, runs.keys[shared], data))
-                total += len(data)
-                if total >= BLOCK_BYTES:
-                    block, total = emit(), 0
-                    if block is not None:
-                        yield block
-        if held:
-            block = emit()
-            if block is not None:
-                yield block
+            return pa.table([pa.array(list(c), t) for c, t in zip(zip(*out), kinds)], names=names)
+
+        lists = [known.get(a, []) for a in addresses(own_docs)]
+        ids = own_docs.column(ID).fill_null(0).to_numpy()
+        rows = own_docs.column(ROW).to_numpy()
+        for first, last, raw, _, runs in _runs(_text_column(own_docs), size):
+            shared = flags_of(lists[first:last], runs.counts, bucket_of(runs.keys, anchor_buckets))
+            if not shared.any():
+                continue
+            counts = np.add.reduceat(np.append(shared, False).astype(np.int64), np.cumsum(runs.counts) - runs.counts) * (runs.counts > 0)
+            some = np.flatnonzero(counts)
+            windows, start = runs.windows[shared], runs.start[shared]
+            data = _bytes_at(raw, start, windows + size - 1)
+            held.append((ids[first:last][some], rows[first:last][some], counts[some], windows, runs.keys[shared], data))
+        return emit() if held else nothing
 
     def settle(t: pa.Table) -> pa.Table:
-        parts = []
+        asked = []
         for x in t.to_pylist():
             ids, rows = np.frombuffer(x["ids"], np.int64), np.frombuffer(x["rows"], np.int64)
             counts = np.frombuffer(x["counts"], np.int32).astype(np.int64)
@@ -195,8 +208,8 @@ def _ask_stretches(docs: DataFrame, size: int, anchor_buckets: int, buckets: int
             sent = np.unpackbits(np.frombuffer(x["sent"], np.uint8), count=n).astype(bool)
             local = np.unpackbits(np.frombuffer(x["local"], np.uint8), count=n).astype(bool)
             windows = np.frombuffer(x["windows"], np.uint8).astype(np.int64)
-            parts.append((ids, rows, counts, windows, sent, local, np.frombuffer(x["lengths"], np.uint8).astype(np.int64), np.frombuffer(x["bytes"], np.uint8), np.repeat(ids, counts)[sent]))
-        lengths, data, owner = (np.concatenate([p[i] for p in parts]) for i in (6, 7, 8))
+            asked.append((ids, rows, counts, windows, sent, local, np.frombuffer(x["lengths"], np.uint8).astype(np.int64), np.frombuffer(x["bytes"], np.uint8), np.repeat(ids, counts)[sent]))
+        lengths, data, owner = (np.concatenate([p[i] for p in asked]) for i in (6, 7, 8))
         # equal stretches are sorted once, for their smallest document
         same = _stretch_hashes(data, lengths, 11)
         order = np.lexsort((owner, same))
@@ -209,8 +222,8 @@ def _ask_stretches(docs: DataFrame, size: int, anchor_buckets: int, buckets: int
         lead = np.cumsum(n_windows) - n_windows
         inner = np.arange(int(n_windows.sum())) - np.repeat(lead, n_windows)
         low = radix_groups(data, np.repeat(begin[first], n_windows) + inner, np.repeat(owner[first], n_windows), size)
-        out, at, bucket = [], 0, t.column("bucket")[0].as_py()
-        for ids, rows, counts, windows, sent, local, own_lengths, _, own_owner in parts:
+        answers, at = Replies(t.column("bucket")[0].as_py(), parts), 0
+        for ids, rows, counts, windows, sent, local, own_lengths, _, own_owner in asked:
             flags = np.repeat(local, windows)
             k = len(own_lengths)
             own = which[at : at + k]
@@ -220,14 +233,14 @@ def _ask_stretches(docs: DataFrame, size: int, anchor_buckets: int, buckets: int
                 place = np.arange(int(n.sum())) + np.repeat(lead[own] - (np.cumsum(n) - n), n)
                 flags[np.repeat(sent, windows)] = low[place] < np.repeat(own_owner, n)
             per_doc = np.add.reduceat(windows, np.cumsum(counts) - counts)
-            out += answer_rows(bucket, ids, rows, per_doc, flags)
-        return answer_table(out)
+            answers.add(ids, rows, per_doc, flags)
+        return answers.table()
 
-    plain = docs.select(ID, ROW, "__llm_text", name).filter(F.col(ID).isNotNull())
-    return plain.mapInArrow(request, STRETCHES).groupBy("bucket").applyInArrow(settle, ANSWER)
+    stretches = docs.groupBy(PART).cogroup(found.groupBy(PART)).applyInArrow(request, STRETCHES)
+    return stretches.groupBy("bucket").applyInArrow(settle, ANSWER)
 
 
-def _window_flags(runs: Runs, shared: np.ndarray, answers: pa.Array, buckets: int) -> np.ndarray:
+def _window_flags(runs: Runs, shared: np.ndarray, answers: list[list[tuple[int, bytes]]], buckets: int) -> np.ndarray:
     """One flag per window of all runs, in their order."""
     flags = np.zeros(int(runs.windows.sum()), bool)
     if not shared.any():
@@ -236,16 +249,15 @@ def _window_flags(runs: Runs, shared: np.ndarray, answers: pa.Array, buckets: in
     bucket = bucket_of(runs.keys, buckets)
     r = 0
     for answer, n in zip(answers, runs.counts.tolist()):
-        answer = answer.as_py()
         if answer and n:
             own = np.flatnonzero(shared[r : r + n]) + r
             order = own[bucket_order(bucket[own])]
             ordered = bucket[order]
-            for x in answer:
-                lo, hi = np.searchsorted(ordered, [x["bucket"], x["bucket"] + 1])
+            for b, packed in answer:
+                lo, hi = np.searchsorted(ordered, [b, b + 1])
                 hit = order[lo:hi]
                 w = runs.windows[hit]
-                bits = np.unpackbits(np.frombuffer(x["bits"], np.uint8), count=int(w.sum())).astype(bool)
+                bits = np.unpackbits(np.frombuffer(packed, np.uint8), count=int(w.sum())).astype(bool)
                 place = np.arange(int(w.sum())) + np.repeat(begin[hit] - (np.cumsum(w) - w), w)
                 flags[place] |= bits
         r += n
@@ -263,10 +275,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     if size <= GRAM:
         raise ValueError(f"size has to be over {GRAM}")
-    base = addressed(docs, id_col, text_col)
-    total = int(base.select(F.sum(F.octet_length("__llm_text"))).first()[0] or 0)
+    base, total, parts = addressed(docs, id_col, text_col)
     anchor_buckets = max(1, -(-total // (13 * BUCKET_KEYS)))
-    buckets = max(1, -(-total // (16 << 20)))
+    buckets = max(1, -(-total // BUCKET_BYTES))
     added = ["n_bytes", "n_removed", "n_spans", "kept_sha256"]
     names = [c for c in docs.columns if c not in added and (not digest_only or c == id_col) and c != text_col]
 
@@ -274,48 +285,45 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for first, last, _, _, runs in _runs(column, size):
             yield first, last, runs.counts, runs.keys
 
-    found = stage(ask(base, anchors, anchor_buckets, earlier=False), "anchors")
-    # the same shuffle of the texts serves both joins below
-    dealt = base.select(*[F.col(f"`{c}`") for c in names], ID, ROW, "__llm_text")
-    marked = with_answers(dealt, found, "__llm_shared")
-    answers = stage(_ask_stretches(marked, size, anchor_buckets, buckets, "__llm_shared"), "stretches")
-    joined = with_answers(with_answers(dealt, found, "__llm_shared"), answers, "__llm_windows")
-    picked = joined.select(*[F.col(f"`{c}`") for c in names], "__llm_text", "__llm_shared", "__llm_windows")
-    k = len(names)
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n_bytes, n_removed, n_spans, digests, texts = [], [], [], [], []
-            for first, last, raw, at, runs in _runs(batch.column(k), size):
-                shared = answers_of(batch.column(k + 1).slice(first, last - first), runs.counts, bucket_of(runs.keys, anchor_buckets))
-                flags = _window_flags(runs, shared, batch.column(k + 2).slice(first, last - first), buckets)
-                # windows are in text order: one for each byte but the last size - 1 of a text
-                windows = np.maximum(np.diff(at) - size + 1, 0)
-                w = 0
-                for lo, hi, n in zip(at[:-1].tolist(), at[1:].tolist(), windows.tolist()):
-                    own = flags[w : w + n]
-                    w += n
-                    text = raw[lo:hi]
-                    n_bytes.append(hi - lo)
-                    if own.any():
-                        gone = covered(own, size, hi - lo)
-                        text = text[~gone]
-                        n_removed.append(int(gone.sum()))
-                        n_spans.append(int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()))
-                    else:
-                        n_removed.append(0)
-                        n_spans.append(0)
-                    kept = text.tobytes()
-                    digests.append(hashlib.sha256(kept).hexdigest())
-                    if not digest_only:
-                        texts.append(kept.decode("utf-8", "ignore"))
-            columns = [*batch.columns[:k], *[pa.array(x, pa.int64()) for x in (n_bytes, n_removed, n_spans)], pa.array(digests, pa.string())]
-            labels = [*names, *added]
-            if not digest_only:
-                columns.append(pa.array(texts, pa.string()))
-                labels.append(text_col)
-            yield pa.RecordBatch.from_arrays(columns, names=labels)
-
-    ddl = [f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema[:k]]
+    found = stage(ask(base, anchors, anchor_buckets, parts, earlier=False), "anchors")
+    # one shuffle of the texts serves both uses
+    dealt = base.select(*[F.col(f"`{c}`") for c in names], "__llm_text", ID, ROW, PART)
+    answers = _ask_stretches(dealt, found, size, anchor_buckets, buckets, parts)
+    kind = lambda df, k: df.withColumn("kind", F.lit(k))
+    both = kind(found, 0).unionByName(kind(answers, 1))
+
+    def cut(key: tuple, own_docs: pa.Table, replies: pa.Table) -> pa.Table:
+        n_bytes, n_removed, n_spans, digests, texts = [], [], [], [], []
+        which = replies.column("kind").to_numpy()
+        by_anchor, by_window = (replies_of(replies.filter(pa.array(which == k))) for k in (0, 1))
+        own = addresses(own_docs)
+        shared_lists, window_lists = [by_anchor.get(a, []) for a in own], [by_window.get(a, []) for a in own]
+        for first, last, raw, at, runs in _runs(_text_column(own_docs), size):
+            shared = flags_of(shared_lists[first:last], runs.counts, bucket_of(runs.keys, anchor_buckets))
+            flags = _window_flags(runs, shared, window_lists[first:last], buckets)
+            # windows are in text order: one for each byte but the last size - 1 of a text
+            windows = np.maximum(np.diff(at) - size + 1, 0)
+            w = 0
+            for lo, hi, n in zip(at[:-1].tolist(), at[1:].tolist(), windows.tolist()):
+                marks = flags[w : w + n]
+                w += n
+                text, gone_bytes, spans = raw[lo:hi], 0, 0
+                if marks.any():
+                    gone = covered(marks, size, hi - lo)
+                    text, gone_bytes = text[~gone], int(gone.sum())
+                    spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
+                kept = text.tobytes()
+                n_bytes.append(hi - lo)
+                n_removed.append(gone_bytes)
+                n_spans.append(spans)
+                digests.append(hashlib.sha256(kept).hexdigest())
+                if not digest_only:
+                    texts.append(kept.decode("utf-8", "ignore"))
+        out = own_docs.select(names)
+        for name, values, t in (("n_bytes", n_bytes, pa.int64()), ("n_removed", n_removed, pa.int64()), ("n_spans", n_spans, pa.int64()), ("kept_sha256", digests, pa.string())):
+            out = out.append_column(name, pa.array(values, t))
+        return out if digest_only else out.append_column(text_col, pa.array(texts, pa.string()))
+
+    ddl = [f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.schema[: len(names)]]
     ddl += ["n_bytes long", "n_removed long", "n_spans long", "kept_sha256 string"] + ([] if digest_only else [f"`{text_col}` string"])
-    return picked.mapInArrow(cut, ", ".join(ddl))
+    return dealt.groupBy(PART).cogroup(both.groupBy(PART)).applyInArrow(cut, ", ".join(ddl))

@@ -70,7 +70,7 @@ def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: int
     """A 64-bit hash of each word: bytes weighted by their place in the word, summed modulo 2**64 and mixed with the length."""
     lengths = ends - starts
     out = np.empty(len(starts), U64)
-    for first, last in row_groups(lengths, 1 << 21):
+    for first, last in row_groups(lengths, 1 << 19):
         own = lengths[first:last]
         lead = np.concatenate([[0], np.cumsum(own)[:-1]])
         place = np.arange(int(own.sum())) - np.repeat(lead, own)
