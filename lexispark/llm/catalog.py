@@ -68,8 +68,10 @@ def op7_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     from pyspark.sql import functions as F
 
     from lexispark.llm.lines import drop_boilerplate, host_of, html_lines
+    from lexispark.session import stage
 
-    pages = table(spark, sf, "pages").select("page_id", host_of(F.col("url")).alias("host"), html_lines(F.col("html")).alias("text"))
+    # written once, as taking the lines out of the markup costs more than all that follows
+    pages = stage(table(spark, sf, "pages").select("page_id", host_of(F.col("url")).alias("host"), html_lines(F.col("html")).alias("text")), "page-lines")
     cleaned = drop_boilerplate(pages, "page_id", "text", "host", ratio=0.2, min_pages=10)
     return cleaned.select(
         "page_id", "host", F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"), F.sha2("text", 256).alias("kept_sha256")

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexispark.llm.shipping import ship
 from lexispark.llm.vectors import valid_vectors
 from lexispark.session import stage
 
@@ -114,6 +115,7 @@ def top_k(
     Scaled components are taken to be below 2**28, so that sums fit into 64 bits.
     """
     spark = vectors.sparkSession
+    ship(spark)
     valid = valid_vectors(vectors, id_col, vector_col)
     ints = stage(valid.select("id", "dim", F.transform("vector", lambda x: F.floor(x * scale)).alias("v")), "kd-vectors")
     sizes = {r.dim: r.n for r in ints.groupBy("dim").agg(F.count("*").alias("n")).collect()}  # a row for each length that occurs

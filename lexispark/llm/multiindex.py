@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexispark.llm.kdtree import _numbers
+from lexispark.llm.shipping import ship
 from lexispark.llm.vectors import valid_vectors
 from lexispark.session import stage
 
@@ -87,6 +88,7 @@ def nearest(
     is one half, the other half is empty. Fewer than ``k`` others give fewer rows, an empty table none.
     """
     spark = vectors.sparkSession
+    ship(spark)
     valid = valid_vectors(vectors, id_col, vector_col).filter(F.exists("vector", lambda x: x != 0))
     rows = stage(valid, "mi-vectors")
     sizes = rows.groupBy("dim").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").first()

@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexispark.llm.shipping import ship
 from lexispark.llm.token_counts import balanced
 from lexispark.session import stage
 
@@ -155,6 +156,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = 2048, id_col: str =
                 [pa.array(list(c), t) for c, t in zip(columns, kinds)], names=["id", "piece", "start", "length", "ids_crc32"]
             )
 
+    ship(docs.sparkSession)
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     return plain.mapInArrow(cut, "id long, piece int, start long, length long, ids_crc32 long").withColumnRenamed("id", id_col)
 
@@ -335,6 +337,7 @@ def pack(
     Every row is packed exactly once; equal rows are separate pieces. Pieces longer than ``capacity`` are not allowed.
     """
     how = {"islands": islands, "epochs": epochs, "size": population, "rounds": rounds}
+    ship(pieces.sparkSession)
     names = ["piece", "start", "length", "ids_crc32"]
     base = stage(pieces.select(F.col(id_col).alias("id"), *names), "packing-pieces")
     n_shards = max(1, -(-base.count() // shard_pieces))

@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexispark.llm.shipping import ship
+
 SPACE = "▁"
 KNOWN_PARTS = 500_000  # encoded parts kept by a worker
 KNOWN_PAIRS = 2_000_000
@@ -186,6 +188,7 @@ def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
                 names += ["ids", "decoded"]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
+    ship(docs.sparkSession)
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     return plain.mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
@@ -198,4 +201,5 @@ def decode_ids(rows: DataFrame, path: str, ids_col: str = "ids", into: str = "de
         model = piece_model(path)
         return ids.map(lambda x: model.decode([int(i) for i in x]) if x is not None else "")
 
+    ship(rows.sparkSession)
     return rows.withColumn(into, text_of(F.col(ids_col)))

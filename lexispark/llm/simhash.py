@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexispark.llm.components import components
+from lexispark.llm.shipping import ship
 from lexispark.llm.textarrays import U64, group_of, group_starts, row_groups, text_buffers, word_bounds
 from lexispark.session import stage
 
@@ -84,6 +85,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             prints = pa.array(_fingerprints_of(batch.column(n), size))
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], prints], names=[*batch.schema.names[:n], "fingerprint"])
 
+    ship(docs.sparkSession)
     plain = docs.select(*(keep or [id_col]), F.col(text_col).cast("string").alias("__text"))
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema[:-1])
     return plain.mapInArrow(run, f"{ddl}, fingerprint long")
@@ -164,6 +166,7 @@ def similar_links(classes: DataFrame, budget: int = 2, bucket_rows: int = BUCKET
 
     Two classes are connected through links if and only if they are connected through pairs within the budget.
     """
+    ship(classes.sparkSession)
     blocks = budget + 1
     edges = [round(64 * i / blocks) for i in range(blocks + 1)]
     total = max(1, classes.count())
