@@ -33,6 +33,7 @@ from lexispark.session import stage
 GRAM = 24
 SLICE_BYTES = 1 << 19  # bytes looked at together; longer texts are cut at multiples of it
 BUCKET_BYTES = 6 << 20  # text for each bucket of stretches
+DEAL_ROWS = 400_000  # suffixes sorted at once
 CHUNK_BYTES = 1 << 19  # bytes that have an index or a hash term at once
 STRETCHES = "bucket int, ids binary, rows binary, counts binary, windows binary, sent binary, local binary, lengths binary, bytes binary"
 
@@ -144,6 +145,26 @@ def radix_groups(data: np.ndarray, starts: np.ndarray, ids: np.ndarray, size: in
     return low
 
 
+def smallest_ids(data: np.ndarray, starts: np.ndarray, ids: np.ndarray, size: int) -> np.ndarray:
+    """``radix_groups`` in bounded memory: suffixes are dealt by their first eight bytes, then sorted deal by deal."""
+    deals = max(1, -(-len(starts) // DEAL_ROWS))
+    if deals == 1:
+        return radix_groups(data, starts, ids, size)
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    deal = np.empty(len(starts), np.int32)
+    for a in range(0, len(starts), DEAL_ROWS):
+        at = starts[a : a + DEAL_ROWS]
+        digit = np.zeros(len(at), U64)
+        for k in range(8):
+            digit = (digit << U64(8)) | padded[at + k].astype(U64)
+        deal[a : a + DEAL_ROWS] = (mix(digit) % U64(deals)).astype(np.int32)
+    low = np.empty_like(ids)
+    for k in range(deals):
+        own = np.flatnonzero(deal == k)
+        low[own] = radix_groups(data, starts[own], ids[own], size)
+    return low
+
+
 def _text_column(t: pa.Table) -> pa.Array:
     column = t.combine_chunks().column("__llm_text")
     return column.chunk(0) if column.num_chunks else pa.array([], pa.string())
@@ -221,7 +242,7 @@ def _ask_stretches(docs: DataFrame, found: DataFrame, size: int, anchor_buckets:
         n_windows = lengths[first] - size + 1
         lead = np.cumsum(n_windows) - n_windows
         inner = np.arange(int(n_windows.sum())) - np.repeat(lead, n_windows)
-        low = radix_groups(data, np.repeat(begin[first], n_windows) + inner, np.repeat(owner[first], n_windows), size)
+        low = smallest_ids(data, np.repeat(begin[first], n_windows) + inner, np.repeat(owner[first], n_windows), size)
         answers, at = Replies(t.column("bucket")[0].as_py(), parts), 0
         for ids, rows, counts, windows, sent, local, own_lengths, _, own_owner in asked:
             flags = np.repeat(local, windows)

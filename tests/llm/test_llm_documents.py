@@ -167,7 +167,7 @@ def test_runs_of_windows_cover_each_window_once(monkeypatch):
     assert set(whole.keys) == set(cut.keys)
 
 
-def test_radix_groups():
+def test_radix_groups(monkeypatch):
     rng = np.random.default_rng(6)
     data = rng.integers(97, 99, 3000, dtype=np.uint8)
     data[1000:1400] = data[100:500]
@@ -179,6 +179,9 @@ def test_radix_groups():
             low[key] = min(low.get(key, i), i)
         want = [low[data[s : s + size].tobytes()] for s in starts.tolist()]
         assert suffixes.radix_groups(data, starts, ids, size).tolist() == want
+        monkeypatch.setattr(suffixes, "DEAL_ROWS", 300)
+        assert suffixes.smallest_ids(data, starts, ids, size).tolist() == want
+        monkeypatch.undo()
 
 
 def test_a_key_of_all_documents_is_sent_once_per_block():
