@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import Word2Vec
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexispark.functions.text import count_rows, drop_words
 from lexispark.operators.cleaning import words_of
+from lexispark.operators.joins import frequency_join
 from lexispark.operators.ranking import assign_row_id
+from lexispark.session import stage
 
 
 def subsample_tokens(docs: DataFrame, sample: float = 1e-3, seed: int = 42) -> DataFrame:
@@ -42,9 +45,13 @@ def word2vec_fit(
     sample: float | None = 1e-3,
     seed: int = 42,
     iterations: int = 5,
-    partitions: int = 4,
+    partitions: int | None = None,
 ) -> DataFrame:
-    """`word, vector ARRAY<DOUBLE>` trained on `tokens`."""
+    """`word, vector ARRAY<DOUBLE>` trained on `tokens`, by default in as many tasks as the cluster runs at once.
+
+    Vocabulary x dim is held by the driver and every task, which is the trainer's own bound; `min_count` keeps it small.
+    """
+    partitions = partitions or docs.sparkSession.sparkContext.defaultParallelism
     corpus = docs if sample is None else subsample_tokens(docs, sample, seed)
     model = Word2Vec(
         vectorSize=dim, minCount=min_count, windowSize=window, maxIter=iterations, numPartitions=partitions,
@@ -55,40 +62,35 @@ def word2vec_fit(
 
 def word_vector_join(tokens: DataFrame, vectors: DataFrame) -> DataFrame:
     """Long-form tokens with their vector; unknown words drop out."""
-    return tokens.join(vectors, "word")
+    return frequency_join(tokens, vectors, "word")
 
 
 def word_cluster_join(tokens: DataFrame, clusters: DataFrame) -> DataFrame:
     """Long-form tokens with their cluster; a word listed twice counts once, with its first cluster."""
     order = "word_no" if "word_no" in clusters.columns else "cluster"
     first = clusters.groupBy("word").agg(F.min_by("cluster", order).alias("cluster"))
-    return tokens.join(first, "word")
+    return frequency_join(tokens, first, "word")
 
 
 def vector_average(docs: DataFrame, vectors: DataFrame, dim: int, stopwords=()) -> DataFrame:
     """`review_id, vector`: mean vector of a review's known, non-stop tokens, zeros where there is none.
 
     Repeated tokens count each time; unknown ones do not dilute the mean. A review's tokens are counted in its row
-    before the join. One sum per dimension keeps the aggregation in fixed-width buffers.
+    before the join, and only known ones reach the mean.
     """
-    words = count_rows(docs, drop_words("tokens", stopwords), ["review_id"], "word", outer=True)
-    hits = words.join(vectors.select("word", "vector"), "word", "left")
-    n = F.when(F.col("vector").isNotNull(), F.col("n"))
-    sums = hits.groupBy("review_id").agg(
-        F.sum(n).alias("_n"), *[F.sum(n * F.get("vector", F.lit(i))).alias(f"_{i}") for i in range(dim)]
-    )
-    mean = F.array(*[F.coalesce(F.col(f"_{i}") / F.col("_n"), F.lit(0.0)) for i in range(dim)])
-    return sums.select("review_id", mean.alias("vector"))
+    words = count_rows(docs, drop_words("tokens", stopwords), ["review_id"], "word")
+    hits = frequency_join(words, vectors.select("word", "vector"), "word")
+    mean = Summarizer.mean(array_to_vector("vector"), F.col("n").cast("double"))
+    means = hits.groupBy(F.col("review_id").alias("_id")).agg(vector_to_array(mean).alias("_mean"))
+    rows = docs.select("review_id").join(means, F.col("review_id") == F.col("_id"), "left")
+    return rows.select("review_id", F.coalesce("_mean", F.array_repeat(F.lit(0.0), dim)).alias("vector"))
 
 
 def word_clusters(vectors: DataFrame, k: int | None = None, max_iter: int = 150, seed: int = 42) -> DataFrame:
     """`word, cluster` by k-means on the word vectors, one tenth as many clusters as words by default."""
-    points = vectors.select("word", array_to_vector("vector").alias("features")).cache()
-    try:
-        k = k or max(points.count() // 10, 2)
-        model = KMeans(k=k, maxIter=max_iter, seed=seed, featuresCol="features", predictionCol="cluster").fit(points)
-    finally:
-        points.unpersist()
+    points = stage(vectors.select("word", array_to_vector("vector").alias("features")), "cluster-points")
+    k = k or max(points.count() // 10, 2)  # k-means takes two clusters at least
+    model = KMeans(k=k, maxIter=max_iter, seed=seed, featuresCol="features", predictionCol="cluster").fit(points)
     return model.transform(points).select("word", "cluster")
 
 
@@ -99,9 +101,14 @@ def cluster_centers(vectors: DataFrame, clusters: DataFrame, dim: int) -> DataFr
 
 
 def bag_of_centroids(docs: DataFrame, clusters: DataFrame) -> DataFrame:
-    """`review_id, cluster, n`: tokens of a review per word cluster (raw counts)."""
+    """`review_id, cluster, n`: tokens of a review per word cluster (raw counts).
+
+    A review without a clustered word has one row with a NULL cluster and count 0.
+    """
     words = count_rows(docs, "tokens", ["review_id"], "word")
-    return word_cluster_join(words, clusters).groupBy("review_id", "cluster").agg(F.sum("n").alias("n"))
+    counts = word_cluster_join(words, clusters).groupBy(F.col("review_id").alias("_id"), "cluster").agg(F.sum("n").alias("n"))
+    rows = docs.select("review_id").join(counts, F.col("review_id") == F.col("_id"), "left")
+    return rows.select("review_id", "cluster", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def frequent_words(docs: DataFrame, min_count: int = 1) -> DataFrame:

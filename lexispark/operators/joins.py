@@ -5,39 +5,42 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# bounds of the broadcast side: at most this many keys of at most this many characters (some tens of MB)
-HOT_KEYS = 500_000
-HOT_KEY_CHARS = 64
-
-
-def frequency_cut(table: DataFrame, freq: str, limit: int) -> int:
-    """Smallest power of two such that at most `limit` keys reach it. Reads one count per power of two."""
-    classes = table.groupBy(F.floor(F.log2(F.greatest(F.col(freq), F.lit(1)))).cast("int").alias("p")).count().collect()
-    cut, keys = 1 << 62, 0
-    for r in sorted(classes, key=lambda r: -r["p"]):
-        keys += r["count"]
-        if keys > limit:
-            break
-        cut = 1 << r["p"]
-    return cut
-
-
-def frequency_join(
-    rows: DataFrame, table: DataFrame, on: str, freq: str, how: str = "inner", hot_keys: int | None = None
-) -> DataFrame:
-    """`rows` joined (inner or left_semi) with a stored table of unique keys and their frequency in `rows`.
-
-    A small table is broadcast whole. Of a larger one the most frequent keys are broadcast, which settles
-    most rows without a shuffle, and only the rows of rare keys are shuffled. No key that is shuffled has
-    more than about total rows / hot_keys rows, so a word that every review has cannot pile up in one task.
+# a vocabulary of at most this many bytes is broadcast whole
+BROADCAST_BYTES = 64 << 20
+# so many of the most frequent keys of the rows are settled without a shuffle
+HEAVY_KEYS = 1000
+
+
+def table_bytes(table: DataFrame, on: str) -> int:
+    """About the size of a table of unique keys with fixed-width columns and arrays of numbers beside them."""
+    widths = [
+        F.coalesce(F.size(f.name), F.lit(0)) * 8 if f.dataType.typeName() == "array"
+        else F.coalesce(F.octet_length(f.name), F.lit(0)) if f.dataType.typeName() == "string" else F.lit(8)
+        for f in table.schema
+    ]
+    return table.agg(F.sum(sum((w for w in widths), F.lit(16)).cast("long")).alias("b")).first()["b"] or 0
+
+
+def heavy_keys(rows: DataFrame, on: str, k: int) -> list[int]:
+    """Hashes of at most `k` keys: every key with over 1 / (4 k) of the rows whose rank is within k.
+
+    A frequent-items sketch of bounded size; one row reaches the driver.
+    """
+    top = rows.where(F.col(on).isNotNull()).agg(F.expr(f"approx_top_k(xxhash64(`{on}`), {k}, {4 * k})").alias("top")).first()["top"]
+    return [r["item"] for r in top or []]
+
+
+def frequency_join(rows: DataFrame, table: DataFrame, on: str, how: str = "inner", heavy: int | None = None) -> DataFrame:
+    """`rows` joined (inner, left, left_semi or left_anti) with a stored table of unique keys.
+
+    A small table is broadcast whole. For a larger one the most frequent keys of `rows` are looked up first, whether the
+    table has them or not: their rows meet the few table rows of these keys by broadcast, so the ones that the table
+    rejects go there as well. Only the other rows are shuffled, and no key among them has more than a few thousandths
+    of all rows. Keys are told apart by a hash, so their length plays no part.
     """
-    limit = HOT_KEYS if hot_keys is None else hot_keys
-    short = F.length(on) <= HOT_KEY_CHARS
-    size = table.agg(F.count(F.lit(1)).alias("keys"), F.count_if(~short).alias("long")).first()
-    if size["keys"] <= limit and not size["long"]:
+    if table_bytes(table, on) <= BROADCAST_BYTES:
         return rows.join(F.broadcast(table), on, how)
-    cut = frequency_cut(table.where(short), freq, limit)
-    is_hot = short & (F.col(freq) >= cut)
-    hot = F.broadcast(table.where(is_hot))
-    rest = rows.join(hot.select(on), on, "left_anti")
-    return rows.join(hot, on, how).unionByName(rest.join(table.where(~is_hot), on, how))
+    keys = heavy_keys(rows, on, heavy or HEAVY_KEYS)
+    is_heavy = F.coalesce(F.xxhash64(on).isin(keys), F.lit(False)) if keys else F.lit(False)
+    settled = rows.where(is_heavy).join(F.broadcast(table.where(is_heavy)), on, how)
+    return settled.unionByName(rows.where(~is_heavy).join(table.where(~is_heavy), on, how))

@@ -1,6 +1,6 @@
 """Term features: counts, document-term matrices, tf-idf, pruned vocabularies, hashing.
 
-Input is the tokenised review table. Counts per document are row-local (`item_counts`); only the
+Input is the tokenised review table. Counts per document are row-local (`count_rows`); only the
 statistics per term are shuffled, after partial aggregation. A vocabulary is staged before the
 text is matched with it, so Spark knows its size when it chooses the join.
 """
@@ -14,6 +14,7 @@ from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructType
 
 from lexispark.functions import text as tx
 from lexispark.operators.describe import normalize_by
@@ -77,12 +78,9 @@ def dtm_with_dictionary(docs: DataFrame, vocab: DataFrame, n_max: int = 2, keep:
 def align_vocabulary(test_terms: DataFrame, train_vocab: DataFrame) -> DataFrame:
     """Triplets whose term is in the vocabulary; absent terms read as zero in sparse form.
 
-    A vocabulary that brings its `doc_count` is joined by frequency, whatever its size.
+    The vocabulary should be a stored table, as its size is asked for.
     """
-    if "doc_count" in train_vocab.columns:
-        vocab = train_vocab.select("term", "doc_count")
-        return frequency_join(test_terms, vocab, "term", "doc_count", "left_semi").select(*test_terms.columns)
-    return test_terms.join(train_vocab.select("term"), "term", "left_semi").select(*test_terms.columns)
+    return frequency_join(test_terms, train_vocab.select("term"), "term", "left_semi").select(*test_terms.columns)
 
 
 def term_rank(docs: DataFrame, keep: Iterable[str] = REVIEW) -> DataFrame:
@@ -133,7 +131,7 @@ def tfidf(
     `idf` from another corpus may be given to weight new documents (fold-in).
     """
     idf = inverse_document_frequency(docs) if idf is None else idf
-    weighted = frequency_join(term_rank(docs, keep), idf.select("word", "df", "idf"), "word", "df")
+    weighted = frequency_join(term_rank(docs, keep), idf.select("word", "idf"), "word")
     out = weighted.withColumn("tf_idf", F.col("tf") * F.col("idf")).select(
         *keep, "word", "n", "rank", "total", "tf", "idf", "tf_idf"
     )
@@ -163,8 +161,15 @@ def pruned_vocabulary(
 def vocab_vectorize(
     docs: DataFrame, vocab: DataFrame, n_max: int = 2, sep: str = "_", keep: Iterable[str] = REVIEW
 ) -> DataFrame:
-    """`review_id, term, weight`: counts on the vocabulary, each review's weights summing to 1."""
-    return l1_normalize(align_vocabulary(ngram_counts(docs, n_max, sep, keep), vocab))
+    """`review_id, term, weight`: counts on the vocabulary, each review's weights summing to 1.
+
+    A review without a term of the vocabulary has one row with a NULL term and weight 0.
+    """
+    keep = list(keep)
+    weights = l1_normalize(align_vocabulary(ngram_counts(docs, n_max, sep, keep), vocab))
+    weights = weights.withColumnRenamed("review_id", "_id").select("_id", "term", "weight")
+    rows = docs.select(*keep).join(weights, F.col("review_id") == F.col("_id"), "left")
+    return rows.select(*keep, "term", F.coalesce("weight", F.lit(0.0)).alias("weight"))
 
 
 def l1_normalize(term_counts: DataFrame) -> DataFrame:
@@ -180,7 +185,10 @@ def hash_bucket(term, n_buckets: int = 2**14) -> Column:
 def feature_hashing(
     docs: DataFrame, n_buckets: int = 2**14, n_max: int = 2, sep: str = "_", keep: Iterable[str] = REVIEW
 ) -> DataFrame:
-    """`review_id, bucket, weight`: n-grams hashed into buckets, weights summing to 1. No shuffle."""
+    """`review_id, bucket, weight`: n-grams hashed into buckets, weights summing to 1. No shuffle.
+
+    A review without tokens has one row with a NULL bucket and weight 0.
+    """
     keep = list(keep)
     buckets = docs.select(*keep, tx.ngrams("tokens", 1, n_max, sep).alias("_terms")).select(
         *keep, F.transform("_terms", lambda t: hash_bucket(t, n_buckets)).alias("_buckets")
@@ -188,7 +196,8 @@ def feature_hashing(
     weights = F.transform(
         "_starts", lambda at, k: F.struct(F.get("_sorted", at), tx.run_length(at, k) / F.size("_sorted"))
     )
-    return tx.sorted_runs(buckets, "_buckets", keep).select(*keep, F.inline(weights).alias("bucket", "weight"))
+    rows = tx.sorted_runs(buckets, "_buckets", keep).select(*keep, F.inline_outer(weights).alias("bucket", "weight"))
+    return rows.withColumn("weight", F.coalesce("weight", F.lit(0.0)))
 
 
 # --- vectors ---
@@ -200,7 +209,7 @@ def vocabulary_index(vocab: DataFrame) -> DataFrame:
 
 def sparse_triplets(triplets: DataFrame, index: DataFrame, value: str = "n") -> DataFrame:
     """Triplets with the term's position: `review_id, idx, value`."""
-    return triplets.join(index, "term").select("review_id", "idx", F.col(value).cast("double").alias("value"))
+    return frequency_join(triplets, index, "term").select("review_id", "idx", F.col(value).cast("double").alias("value"))
 
 
 @F.pandas_udf(VectorUDT())
@@ -220,24 +229,30 @@ def cast_sparse(triplets: DataFrame, index: DataFrame, value: str = "n") -> Data
     )
 
 
+@F.pandas_udf(ArrayType(StructType().add("idx", IntegerType()).add("value", DoubleType())))
+def sparse_cells(vectors: pd.DataFrame) -> pd.Series:
+    """The stored entries of sparse vectors."""
+    rows = zip(vectors["indices"], vectors["values"])
+    return pd.Series([[{"idx": int(i), "value": float(x)} for i, x in zip(at, values)] for at, values in rows])
+
+
 def transpose(triplets: DataFrame) -> DataFrame:
     """Terms x documents from documents x terms and back: the triplet's keys change places."""
     first, second, *rest = triplets.columns
     return triplets.select(second, first, *rest)
 
 
-MAX_VECTOR_TERMS = 1_000_000
-
-
 def count_vectors(
     docs: DataFrame, vocab: DataFrame, n_max: int = 2, sep: str = " ", keep: Iterable[str] = REVIEW
 ) -> tuple[DataFrame, list[str]]:
-    """(reviews with sparse count vectors `features`, terms). The vocabulary must fit the driver."""
-    rows = vocab.select("term").limit(MAX_VECTOR_TERMS + 1).collect()
+    """(reviews with sparse count vectors `features`, terms).
+
+    For vocabularies bounded by a document share s: these have at most 1 / s times the mean number of different terms of
+    a review, whatever the corpus, and so can be held by the driver. `cast_sparse` has no such need.
+    """
+    rows = vocab.select("term").collect()
     if not rows:
         raise ValueError("the vocabulary is empty")
-    if len(rows) > MAX_VECTOR_TERMS:
-        raise ValueError(f"vocabulary above {MAX_VECTOR_TERMS} terms: tighten its bounds or use feature_hashing")
     terms = sorted(r["term"] for r in rows)
     model = CountVectorizerModel.from_vocabulary(terms, "_terms", "features")
     with_terms = docs.select(*keep, tx.ngrams("tokens", 1, n_max, sep).alias("_terms"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from lexispark.functions.text import PRONOUNS
@@ -65,10 +64,11 @@ def _(spark, sf):
 # --- tf-idf ---
 def _tfidf_sql(source: str, by: str = "") -> str:
     over = f"PARTITION BY {by}, word" if by else "PARTITION BY word"
-    n = f"(SELECT count(DISTINCT review_id) FROM {source} s{f' WHERE s.{by} = t.{by}' if by else ''})"
-    return f"""weighted AS (SELECT *, n / total::DOUBLE AS tf, ln({n}::DOUBLE / df) AS idf FROM (SELECT *,
+    group = by or "1"
+    return f"""sizes AS MATERIALIZED (SELECT {group} AS part, count(DISTINCT review_id) AS n_docs FROM {source} GROUP BY 1),
+    weighted AS MATERIALIZED (SELECT t.*, n / total::DOUBLE AS tf, ln(n_docs::DOUBLE / df) AS idf FROM (SELECT *,
     row_number() OVER (PARTITION BY review_id ORDER BY n DESC, word) AS rank, CAST(sum(n) OVER (PARTITION BY review_id) AS BIGINT) AS total,
-    count(*) OVER ({over}) AS df FROM {source}) t)"""
+    count(*) OVER ({over}) AS df FROM {source}) t JOIN sizes ON part = {f"t.{by}" if by else "1"})"""
 
 
 _TFIDF_COLS = "review_id, {0}word, n, rank, total, round(tf, 6) AS tf, round(idf, 6) AS idf, round(tf * idf, 6) AS tf_idf"
@@ -99,7 +99,8 @@ def _(spark, sf):
 # --- vocabulary and hashing ---
 _PRUNED = f"""vocab AS (SELECT term, CAST(sum(n) AS BIGINT) AS term_count, count(*) AS doc_count FROM ugrams GROUP BY term HAVING sum(n) >= 10
     AND count(*) / {_N}::DOUBLE BETWEEN 0.001::DOUBLE AND 0.5::DOUBLE)"""
-_L1 = "SELECT review_id, term, round(n / sum(n) OVER (PARTITION BY review_id), 6)::DOUBLE AS weight FROM {0} WHERE term IN (SELECT term FROM vocab)"
+_L1 = """SELECT docs.review_id, term, coalesce(weight, 0) AS weight FROM docs LEFT JOIN (SELECT review_id, term,
+    round(n / sum(n) OVER (PARTITION BY review_id), 6)::DOUBLE AS weight FROM {0} WHERE term IN (SELECT term FROM vocab)) w USING (review_id)"""
 
 
 @query("pruned_vocabulary", with_sql("SELECT * FROM vocab", "ugrams", extra=(_PRUNED,)))
@@ -120,7 +121,7 @@ def _(spark, sf):
     return terms.pruned_vocabulary(cleaning.stripped_tokens(fx.documents(spark, sf), PRONOUNS))
 
 
-@query("vocab_vectorize", with_sql(_L1.format("ugrams"), "ugrams", extra=(_PRUNED,)))
+@query("vocab_vectorize", with_sql(_L1.format("ugrams"), "docs", "ugrams", extra=(_PRUNED,)))
 def _(spark, sf):
     docs = fx.docs(spark, sf)
     return fx.round6(terms.vocab_vectorize(docs, terms.pruned_vocabulary(docs)), "weight")
@@ -129,9 +130,11 @@ def _(spark, sf):
 @query(
     "feature_hashing",
     with_sql(
-        f"""SELECT review_id, bucket, round(sum(n) / total, 6)::DOUBLE AS weight FROM (SELECT review_id, n,
-        {bucket_sql("term", 8)} % 16384 AS bucket, sum(n) OVER (PARTITION BY review_id) AS total FROM ugrams) GROUP BY review_id, bucket, total""",
-        "ugrams",
+        f"""SELECT docs.review_id, bucket, coalesce(weight, 0) AS weight FROM docs LEFT JOIN (
+        SELECT review_id, bucket, round(sum(n) / total, 6)::DOUBLE AS weight FROM (SELECT review_id, n,
+        {bucket_sql("term", 8)} % 16384 AS bucket, sum(n) OVER (PARTITION BY review_id) AS total FROM ugrams) GROUP BY review_id, bucket, total) w
+        USING (review_id)""",
+        "docs", "ugrams",
     ),
 )
 def _(spark, sf):
@@ -153,28 +156,28 @@ def _(spark, sf):
 def _(spark, sf):
     docs = cleaning.tokenized(fx.typed(spark, sf), fx.STOP)
     counts = terms.doc_term_count(docs, ["review_id", "type"], "term")
-    train = counts.where("type = 'train'").select("term").distinct()
+    train = stage(counts.where("type = 'train'").select("term").distinct(), "train-terms")
     return terms.align_vocabulary(counts.where("type = 'test'"), train).select("review_id", F.col("term").alias("word"), "n")
 
 
-_WIDE_VOCAB = _vocab("words", 1, 0.9)
+# every term has a column; the count vectors are for vocabularies bounded by a document share
+_ALL_TERMS = "vocab AS (SELECT DISTINCT term FROM words)"
 _INDEX = "idx AS (SELECT term, CAST(row_number() OVER (ORDER BY term) - 1 AS INTEGER) AS idx FROM vocab)"
 _CELLS = "SELECT review_id, idx, n::DOUBLE AS value FROM words JOIN idx USING (term)"
 
 
-@query("cast_sparse", with_sql(_CELLS, "counts", extra=(_WORDS, _WIDE_VOCAB, _INDEX)))
+@query("cast_sparse", with_sql(_CELLS, "counts", extra=(_WORDS, _ALL_TERMS, _INDEX)))
 def _(spark, sf):
-    docs = fx.docs(spark, sf)
-    vocab = terms.dtm_vocabulary(docs, 1, 1, 0.9)
-    vectors = terms.cast_sparse(terms.dtm_with_dictionary(docs, vocab, 1), terms.vocabulary_index(vocab))
-    return vectors.select("review_id", F.posexplode(vector_to_array("features")).alias("idx", "value")).where("value <> 0")
+    counts = terms.doc_term_count(fx.docs(spark, sf), word="term")
+    index = stage(terms.vocabulary_index(counts.select("term").distinct()), "term-index")
+    return terms.cast_sparse(counts, index).select("review_id", F.inline(terms.sparse_cells("features")))
 
 
-@query("count_vectors", with_sql(_CELLS, "counts", extra=(_WORDS, _WIDE_VOCAB, _INDEX)))
+@query("count_vectors", with_sql(_CELLS, "counts", extra=(_WORDS, _vocab("words", 1, 0.99), _INDEX)))
 def _(spark, sf):
     docs = fx.docs(spark, sf)
-    vectors, _terms = terms.count_vectors(docs, terms.dtm_vocabulary(docs, 1, 1, 0.9), 1)
-    return vectors.select("review_id", F.posexplode(vector_to_array("features")).alias("idx", "value")).where("value <> 0")
+    vectors, _terms = terms.count_vectors(docs, terms.dtm_vocabulary(docs, 1, 1, 0.99), 1)
+    return vectors.select("review_id", F.inline(terms.sparse_cells("features")))
 
 
 @query("transpose", with_sql("SELECT term, review_id, n FROM grams", "grams"))
@@ -226,7 +229,10 @@ def _(spark, sf):
 
 @query(
     "bag_of_centroids",
-    with_sql("SELECT review_id, cluster, count(*) AS n FROM kept JOIN vectors USING (word) GROUP BY ALL", "kept", "vectors"),
+    with_sql(
+        """SELECT review_id, cluster, count(cluster) AS n FROM docs LEFT JOIN (SELECT review_id, cluster FROM kept JOIN vectors USING (word)) h
+        USING (review_id) GROUP BY ALL""", "docs", "kept", "vectors",
+    ),
 )
 def _(spark, sf):
     return embeddings.bag_of_centroids(fx.docs(spark, sf), word_table(spark, sf).drop("vector"))
@@ -271,9 +277,9 @@ _FOLD_VOCAB = """vocab AS (SELECT term FROM ugrams WHERE review_id IN (SELECT re
 
 @query(
     "protocol_foldin",
-    with_sql(f"SELECT f.*, type FROM ({_L1.format('ugrams')}) f JOIN typed USING (review_id)", "ugrams", "typed", extra=(_FOLD_VOCAB,)),
+    with_sql(f"SELECT f.*, type FROM ({_L1.format('ugrams')}) f JOIN typed USING (review_id)", "docs", "ugrams", "typed", extra=(_FOLD_VOCAB,)),
 )
 def _(spark, sf):
     train, test = (cleaning.tokenized(d, fx.STOP) for d in _split(spark, sf))
-    transform = lambda vocab, docs: terms.vocab_vectorize(docs, vocab)
+    transform = lambda vocab, docs: terms.vocab_vectorize(docs, vocab).select("review_id", "term", "weight")
     return fx.round6(protocols.protocol_foldin(train, test, terms.pruned_vocabulary, transform), "weight")

@@ -51,11 +51,11 @@ def test_vocabulary_join_follows_its_size(spark, sf, monkeypatch):
     vocab = terms.dtm_vocabulary(docs)
     small = terms.dtm_with_dictionary(docs, vocab)
     assert "BroadcastHashJoin" in plan(small) and "hashpartitioning" not in plan(small)
-    monkeypatch.setattr(joins, "HOT_KEYS", 50)
+    monkeypatch.setattr(joins, "BROADCAST_BYTES", 0)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", 10)
     try:
         wide = terms.dtm_with_dictionary(docs, vocab)
-        assert "SortMergeJoin" in plan(wide) and "LeftAnti" in plan(wide)
+        assert "SortMergeJoin" in plan(wide) and "BroadcastHashJoin" in plan(wide)
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert wide.exceptAll(small).count() == 0 and wide.count() == small.count()
@@ -96,7 +96,7 @@ sys.path.insert(0, {root!r})
 from lexispark.session import build_session
 import __spark_entry__ as entry
 spark = build_session(master="local[2]", **{{"spark.ui.enabled": "false", "spark.sql.shuffle.partitions": "2"}})
-for name in ("clean_reviews_english", "stem_words_english", "cast_sparse", "lsa_foldin"):
+for name in ("clean_reviews", "stem_words", "cast_sparse", "lsa_foldin"):
     assert entry.queries()[name](spark, {sf!r}).count() > 0, name
 """
     path = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
