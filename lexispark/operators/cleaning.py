@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from lexispark.functions import text as tx
 from lexispark.functions.stem import stem_tokens, stem_word
+from lexispark.operators.joins import frequency_join
+from lexispark.session import stage
 
 StopWords = Iterable[str] | DataFrame | None
 
@@ -77,11 +79,12 @@ def collapse_tokens(tokens: DataFrame, by: Iterable[str] = ("review_id",), word:
 def stem_words(tokens: DataFrame, stems: DataFrame | None = None) -> DataFrame:
     """Adds `word_stem` to long-form tokens, from a (word, word_stem) table where one is given.
 
-    Words the table does not know stay as they are.
+    Words the table does not know stay as they are. Without a table each distinct word is stemmed once, which makes one.
     """
     if stems is None:
-        return tokens.withColumn("word_stem", stem_word("word"))
-    joined = tokens.join(stems.select("word", "word_stem"), "word", "left")
+        words = tokens.select("word").where("word is not null").distinct()
+        stems = stage(words.withColumn("word_stem", stem_word("word")), "stems")
+    joined = frequency_join(tokens, stems.select("word", "word_stem"), "word", "left")
     return joined.select(*tokens.columns, F.coalesce("word_stem", "word").alias("word_stem"))
 
 
@@ -94,7 +97,8 @@ def clean_reviews(
     """Cleaned reviews: `keys, tokens, review_text`. Reviews left without a token disappear.
 
     `stems`: None uses the built-in stemmer, False keeps the words (for lexicon look-ups),
-    a table (word, word_stem) is joined. The usual `.` and `-` replacements are implied: neither
+    a table (word, word_stem) is joined. Each input row stays a review of its own, also where ids repeat, however
+    long the stop list is. The usual `.` and `-` replacements are implied: neither
     character can be part of a token.
     """
     keys = list(keys)
@@ -104,12 +108,14 @@ def clean_reviews(
         if stems is not False:
             docs = docs.withColumn("tokens", stem_tokens("tokens"))
         return docs.withColumn("review_text", F.array_join("tokens", " "))
-    rows = token_rows(tokenized(reviews, words or ()), keys)
+    # a row number fixed by writing it keeps rows with equal keys apart
+    numbered = tokenized(reviews, words or ()).select(*keys, "tokens", F.monotonically_increasing_id().alias("_row"))
+    rows, by = token_rows(stage(numbered, "numbered-reviews"), [*keys, "_row"]), [*keys, "_row"]
     if words is None:
         rows = remove_stopwords(rows, stopwords)
     if stems is False:
-        return collapse_tokens(rows, keys)
-    return collapse_tokens(stem_words(rows, stems if isinstance(stems, DataFrame) else None), keys, "word_stem")
+        return collapse_tokens(rows, by).drop("_row")
+    return collapse_tokens(stem_words(rows, stems if isinstance(stems, DataFrame) else None), by, "word_stem").drop("_row")
 
 
 def clean_corpus_tm(
@@ -124,8 +130,11 @@ def clean_corpus_tm(
     words = F.filter(F.split(F.coalesce(bare, F.lit("")), r"\s+"), lambda w: w != "")
     docs = reviews.select(*keep, tx.drop_words(words, stopwords).alias("tokens"))
     if isinstance(stems, DataFrame):
-        rows = docs.select(*keep, F.posexplode_outer("tokens").alias("pos", "word"))
-        return collapse_tokens(stem_words(rows, stems), keep, "word_stem")
+        numbered = stage(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered-reviews")
+        rows = numbered.select(*keep, "_row", F.posexplode_outer("tokens").alias("pos", "word"))
+        # an outer row without a word stands for an empty review
+        out = collapse_tokens(stem_words(rows, stems), [*keep, "_row"], "word_stem").drop("_row")
+        return out.withColumn("tokens", F.filter("tokens", lambda w: w.isNotNull()))
     if stems is not False:
         docs = docs.withColumn("tokens", stem_tokens("tokens"))
     return docs.withColumn("review_text", F.array_join("tokens", " "))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lexispark.operators.assessment import confusion_matrix
 from lexispark.operators.cleaning import clean_reviews, words_of
+from lexispark.session import stage
 
 EMOTIONS = ("anger", "anticipation", "disgust", "fear", "joy", "sadness", "surprise", "trust")
 POLARITIES = ("negative", "positive")
@@ -45,16 +46,20 @@ def emotion_shares(nrc: DataFrame) -> DataFrame:
 
 
 def threshold_at_mean(df: DataFrame, col: str, name: str = "predicted") -> DataFrame:
-    """1 where the score is above the mean over all scored rows (a one-value subquery), else 0."""
+    """1 where the score is above the mean over all scored rows (a one-value subquery), else 0.
+
+    The input is read twice: give it a stored table where scores cost more than reading them.
+    """
     mean = df.agg(F.avg(col)).scalar()
     return df.withColumn(name, (F.col(col) > mean).cast("int"))
 
 
 def afinn_classifier(reviews: DataFrame, lexicon: DataFrame, stopwords=None) -> DataFrame:
     """`review_id, rating, binary_rating, afinn_score, predicted` for every scored review."""
-    cleaned = clean_reviews(reviews, stopwords, stems=False)
-    scored = cleaned.drop("tokens", "review_text").join(afinn_score(cleaned, lexicon), "review_id")
-    return threshold_at_mean(scored, "afinn_score")
+    keys = ["review_id", "rating", "binary_rating"]
+    words = words_of(clean_reviews(reviews, stopwords, stems=False), keys)
+    scored = lexicon_lookup(words, lexicon).groupBy(*keys).agg(F.avg("afinn_score").alias("afinn_score"))
+    return threshold_at_mean(stage(scored, "afinn-scores"), "afinn_score")
 
 
 def afinn_confusion(classified: DataFrame) -> DataFrame:

@@ -51,7 +51,9 @@ def shared_folder(spark: SparkSession) -> str:
 
 def new_folder(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
-    return os.path.join(shared_folder(spark), "lexispark", f"{name}-{uuid.uuid4().hex}")
+    path = os.path.join(shared_folder(spark), "lexispark", f"{name}-{uuid.uuid4().hex}")
+    _staged.append(path)
+    return path
 
 
 def drop_staged(spark: SparkSession) -> None:
@@ -71,7 +73,6 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     """
     spark = df.sparkSession
     path = new_folder(spark, name)
-    _staged.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

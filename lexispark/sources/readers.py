@@ -47,13 +47,14 @@ def read_run_logs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_word_vectors_text(spark: SparkSession, path: str, dim: int) -> DataFrame:
-    """Space-separated `word v1 .. vn` lines after a `count dim` header; missing numbers are 0."""
-    parts = spark.read.text(path).select(F.split("value", " ").alias("p"))
+    """Space-separated `word v1 .. vn` lines; the first line of a file is its header, missing numbers are 0."""
+    # a separator that no line has: the CSV reader skips the first line of each file and splits nothing
+    lines = spark.read.schema("value STRING").csv(path, header=True, sep="\u0001", quote="", enforceSchema=True)
+    parts = lines.select(F.split("value", " ").alias("p"))
     numbers = F.transform(
         F.sequence(F.lit(1), F.lit(dim)), lambda i: F.coalesce(F.get("p", i).try_cast("double"), F.lit(0.0))
     )
-    # the header is the one line with two fields
-    return parts.where(F.size("p") > 2).select(F.get("p", F.lit(0)).alias("word"), numbers.alias("vector"))
+    return parts.select(F.get("p", F.lit(0)).alias("word"), numbers.alias("vector"))
 
 
 def read_cluster_csv(spark: SparkSession, path: str, words: DataFrame) -> DataFrame:

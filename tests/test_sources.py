@@ -37,6 +37,12 @@ def test_word_vectors(spark):
     assert rows == {"cat": [1.5, 0.0, -2.0], "dog": [0.0, 0.25, 0.001]}
 
 
+def test_word_vectors_of_one_dimension_and_short_lines(spark):
+    path = put(spark, "vectors", "3 1\ncat 1.5\ndog\nbird -2\n")
+    rows = {r["word"]: r["vector"] for r in readers.read_word_vectors_text(spark, path, 1).collect()}
+    assert rows == {"cat": [1.5], "dog": [0.0], "bird": [-2.0]}
+
+
 def test_ndjson_fields(spark):
     path = put(spark, "json", '{"id": "x", "overall": 4.0, "other": 1}\n{"id": "y", "overall": 1.0}\n')
     df = readers.read_reviews_ndjson(spark, path, "id STRING, overall DOUBLE", {"id": "review_id", "overall": "rating"})

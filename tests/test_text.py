@@ -130,6 +130,26 @@ def test_long_stop_list_is_joined(spark, reviews, monkeypatch):
     assert by_id(cleaning.clean_reviews(reviews, stop, False, ["review_id"]), "review_text")["f"] == "cat cat"
 
 
+def test_stop_list_length_changes_no_answer(spark, monkeypatch):
+    rows = [("1", "good cat"), ("1", "bad dog"), ("2", None), ("3", "the the"), ("4", "")]
+    reviews = spark.createDataFrame(rows, "review_id STRING, review_text STRING")
+    stop = spark.createDataFrame([("the",), ("of",)], "word STRING")
+    stems = spark.createDataFrame([("cat", "kit")], "word STRING, word_stem STRING")
+    texts = lambda **how: sorted((r["review_id"], r["review_text"]) for r in cleaning.clean_reviews(reviews, stop, keys=["review_id"], **how).collect())
+    for how in ({"stems": False}, {}, {"stems": stems}):
+        short = texts(**how)
+        monkeypatch.setattr(cleaning, "MAX_LITERAL_WORDS", 1)
+        assert texts(**how) == short and len(short) == 2  # rows with one id stay two reviews
+        monkeypatch.undo()
+
+
+def test_older_cleaning_chain_has_no_null_tokens(spark):
+    reviews = spark.createDataFrame([("1", "the"), ("2", None), ("3", "cats")], "review_id STRING, review_text STRING")
+    stems = spark.createDataFrame([("cats", "cat")], "word STRING, word_stem STRING")
+    got = {r["review_id"]: (r["tokens"], r["review_text"]) for r in cleaning.clean_corpus_tm(reviews, ["the"], stems).collect()}
+    assert got == {"1": ([], ""), "2": ([], ""), "3": (["cat"], "cat")}
+
+
 def test_built_in_stemmer_in_the_pipeline(spark):
     df = spark.createDataFrame([("1", "Knitted the knives consistently")], "review_id STRING, review_text STRING")
     assert by_id(cleaning.clean_reviews(df, ["the"], keys=["review_id"]), "review_text")["1"] == "knit knive consist"
