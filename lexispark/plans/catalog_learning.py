@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml.clustering import LocalLDAModel
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from lexispark.operators import cleaning, embeddings, latent, models, sampling, terms, topics
@@ -13,15 +13,17 @@ from lexispark.plans.catalog_features import word_table
 from lexispark.plans.fixture import with_sql
 from lexispark.plans.registry import query
 from lexispark.session import new_folder, small_table, stage
+from lexispark.sources import readers, writers
 
 KEEP = ("review_id", "type")
 
 
-def _count_vectors(spark, sf, sparse=0.98):
+def _count_vectors(spark, sf, sparse=0.99):
     """Count vectors of all documents on the vocabulary of the training documents."""
     docs = cleaning.tokenized(fx.typed(spark, sf), fx.STOP)
     vocab = terms.dtm_vocabulary(docs.where("type = 'train'"), n_max=2, min_df=10, sparse=sparse)
     vectors, words = terms.count_vectors(docs, vocab, 2, keep=KEEP)
+    vectors = stage(vectors, "count-vectors")  # read by every iteration
     return vectors.where("type = 'train'"), vectors.where("type = 'test'"), words
 
 
@@ -62,7 +64,7 @@ def _(spark, sf):
         WHERE type = 'train' AND term IN (SELECT term FROM vocab)""", "grams", "typed",
         extra=(
             """vocab AS (SELECT term FROM grams JOIN typed USING (review_id) WHERE type = 'train' AND length(term) >= 3 GROUP BY term
-            HAVING count(*) >= 10 AND count(*) > (SELECT count(*) FROM typed WHERE type = 'train') * (1::DOUBLE - 0.98::DOUBLE))""",
+            HAVING count(*) >= 10 AND count(*) > (SELECT count(*) FROM typed WHERE type = 'train') * (1::DOUBLE - 0.99::DOUBLE))""",
         ),
     ),
 )
@@ -76,7 +78,7 @@ def _(spark, sf):
 # --- topics ---
 def _topic_model(spark, sf):
     train, test, words = _count_vectors(spark, sf)
-    return topics.lda_fit(train, iterations=10, batch_share=0.2), train, test, words
+    return topics.lda_fit(train), train, test, words
 
 
 @query("lda_fit")
@@ -113,13 +115,13 @@ def _(spark, sf):
 # --- word vectors ---
 @query("word2vec_fit")
 def _(spark, sf):
-    vectors = embeddings.word2vec_fit(fx.docs(spark, sf), dim=16, iterations=1)
+    vectors = embeddings.word2vec_fit(fx.docs(spark, sf))
     return vectors.select("word", F.posexplode_outer("vector").alias("dim", "value"))
 
 
 @query("word_clusters")
 def _(spark, sf):
-    return embeddings.word_clusters(word_table(spark, sf).select("word", "vector"), max_iter=20)
+    return embeddings.word_clusters(word_table(spark, sf).select("word", "vector"))
 
 
 # --- classifiers ---
@@ -136,13 +138,13 @@ def _labelled_vectors(spark, sf):
 @query("lasso_logistic_cv")
 def _(spark, sf):
     train, test = _labelled_vectors(spark, sf)
-    return models.predict_models({"glmnet": models.lasso_logistic_cv(train, folds=3, n_lambda=3)}, test)
+    return models.predict_models({"glmnet": models.lasso_logistic_cv(train)}, test)
 
 
 @query("boosted_trees")
 def _(spark, sf):
     train, test = _labelled_vectors(spark, sf)
-    return models.predict_models({"xgboost": models.boosted_trees(train, rounds=5, depth=4)}, test)
+    return models.predict_models({"xgboost": models.boosted_trees(train)}, test)
 
 
 @query("logistic_plain")
@@ -154,17 +156,73 @@ def _(spark, sf):
 @query("predict_models")
 def _(spark, sf):
     train, test = _labelled_vectors(spark, sf)
-    fitted = {
-        "glmnet": models.lasso_logistic_cv(train, folds=3, n_lambda=3),
-        "xgboost": models.boosted_trees(train, rounds=3, depth=3),
-    }
-    return models.predict_models(fitted, test)
+    return models.predict_models(models.run_models(train), test)
 
 
 @query("run_grid")
 def _(spark, sf):
+    """Two cells with stored features, read back by their keys; a short path of penalties and few trees keep it to minutes."""
+    root = new_folder(spark, "grid-features")
     train, test = _labelled_vectors(spark, sf)
     rows = train.withColumn("type", F.lit("train")).unionByName(test.withColumn("type", F.lit("test")))
-    quick = lambda part: {"glmnet": models.logistic_plain(part), "xgboost": models.boosted_trees(part, rounds=3, depth=3)}
-    grid = protocols.parameter_grid(["documents"], ["average"], [1000], spark=spark)
-    return protocols.run_grid(grid, lambda *cell: rows, "mix_only", quick)
+    rows = rows.withColumn("features", vector_to_array("features"))
+    sizes = (300, 1000)
+    for size in sizes:
+        for approach in ("mix", "blind"):  # averages of given vectors are not fitted: all approaches have the same rows
+            part = rows.where((F.col("type") == "test") | (F.pmod(F.xxhash64("review_id"), F.lit(1000)) < size))
+            writers.write_feature_set(part, root, "average", approach, "documents", size)
+
+    def load(technique, dataset, size, approach):
+        stored = readers.read_table(spark, root, technique=technique, dataset=dataset, size=size, approach=approach)
+        return stored.select("review_id", array_to_vector("features").alias("features"), "label", "type")
+
+    fit = lambda part: {"glmnet": models.lasso_logistic_cv(part, n_lambda=4), "xgboost": models.boosted_trees(part, rounds=8, depth=4)}
+    grid = protocols.parameter_grid(["documents"], ["average"], sizes, spark=spark)
+    return protocols.run_grid(grid, load, "blind_and_mix", fit)
+
+
+# --- what fitted features have to fulfil, next to SQL ---
+_DOC_COUNTS = with_sql(
+    """SELECT type, count(DISTINCT review_id) AS n_docs, count(DISTINCT review_id) AS n_distributions
+    FROM grams JOIN typed USING (review_id) WHERE term IN (SELECT term FROM vocab) GROUP BY type""", "grams", "typed",
+    extra=(
+        """vocab AS MATERIALIZED (SELECT term FROM grams JOIN typed USING (review_id) WHERE type = 'train' AND length(term) >= 3 GROUP BY term
+        HAVING count(*) >= 10 AND count(*) > (SELECT count(*) FROM typed WHERE type = 'train') * (1::DOUBLE - 0.99::DOUBLE))""",
+    ),
+)
+
+
+@query("lda_distributions", _DOC_COUNTS)
+def _(spark, sf):
+    """Documents with a term of the vocabulary, and those whose 20 topic shares add up to 1."""
+    model, train, test, _words = _topic_model(spark, sf)
+    rows = topics.lda_foldin(model, train, test)
+    total = F.aggregate("topics", F.lit(0.0), lambda a, x: a + x)
+    good = (F.size("topics") == 20) & (F.abs(total - 1) < 1e-6) & F.forall("topics", lambda x: x >= 0)
+    return rows.groupBy("type").agg(F.countDistinct("review_id").alias("n_docs"), F.count_if(good).alias("n_distributions"))
+
+
+@query(
+    "word2vec_words",
+    with_sql("SELECT word, CAST(8 AS INTEGER) AS dim FROM kept GROUP BY word HAVING count(*) >= 40", "kept"),
+)
+def _(spark, sf):
+    vectors = embeddings.word2vec_fit(fx.docs(spark, sf), dim=8, sample=None, iterations=1)
+    return vectors.select("word", F.size("vector").alias("dim"))
+
+
+@query("word_clusters_cover", with_sql("SELECT word, CAST(1 AS BIGINT) AS n FROM vectors", "vectors"))
+def _(spark, sf):
+    """Each word is in one cluster."""
+    clusters = embeddings.word_clusters(word_table(spark, sf).select("word", "vector"), max_iter=5)
+    return clusters.groupBy("word").agg(F.count("*").alias("n"))
+
+
+@query("lsa_reconstructed")
+def _(spark, sf):
+    """Rows of rank k for train and folded-in test documents, entries over 0.001 only."""
+    train, test, words = _count_vectors(spark, sf)
+    model = latent.lsa_fit(train, words)
+    rows = model.transform(train, "reconstructed").unionByName(model.transform(test, "reconstructed"))
+    long = rows.select("review_id", "type", F.posexplode("lsa").alias("idx", "value"))
+    return long.where(F.abs("value") > 0.001)

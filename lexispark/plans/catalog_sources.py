@@ -77,12 +77,18 @@ def _(spark, sf):
 
 @query(
     "cluster_centers",
-    with_sql("SELECT cluster, round(avg(embedding[1]::DOUBLE), 6) AS c0, round(avg(embedding[2]::DOUBLE), 6) AS c1 FROM vectors GROUP BY cluster", "vectors"),
+    with_sql(
+        f"""SELECT cluster, CAST(d - 1 AS INTEGER) AS dim, round(avg(embedding[d]::DOUBLE), 6) AS value
+        FROM vectors, range(1, {fx.DIM + 1}) r(d) GROUP BY cluster, d""", "vectors",
+    ),
 )
 def _(spark, sf):
     words = word_table(spark, sf)
-    centers = embeddings.cluster_centers(words.select("word", "vector"), words.select("word", "cluster"), 2)
-    return fx.round6(centers, "c0", "c1")
+    centers = embeddings.cluster_centers(words.select("word", "vector"), words.select("word", "cluster"), fx.DIM)
+    path = writers.write_csv(centers, new_folder(spark, "centers"))
+    stored = spark.read.schema(centers.schema).csv(path, header=True)
+    values = F.array(*[F.col(f"c{i}") for i in range(fx.DIM)])
+    return fx.round6(stored.select("cluster", F.posexplode(values).alias("dim", "value")), "value")
 
 
 @query(
@@ -98,8 +104,8 @@ def _(spark, sf):
     # every seventh word has a missing number
     numbers = F.transform("vector", lambda x, i: F.when((F.col("word_no") % 7 == 0) & (i == 3), "NA").otherwise(x.cast("string")))
     lines = words.select(F.concat_ws(" ", "word", F.array_join(numbers, " ")).alias("value"))
-    header = words.agg(F.concat_ws(" ", F.count(F.lit(1)).cast("string"), F.lit(str(fx.DIM))).alias("value"))
-    header.unionByName(lines).write.text(path)
+    # each file gets the header
+    lines.withColumnRenamed("value", f"{words.count()} {fx.DIM}").write.csv(path, header=True, sep="\u0001", quote="", escapeQuotes=False)
     vectors = readers.read_word_vectors_text(spark, path, fx.DIM)
     return fx.round6(vectors.select("word", F.posexplode_outer("vector").alias("dim", "value")), "value")
 

@@ -55,6 +55,18 @@ _TM_SQL = r"""tm AS (SELECT review_id, pos, word FROM (SELECT review_id, unnest(
 
 @query(
     "clean_corpus_tm",
+    with_sql(
+        """SELECT review_id, coalesce(string_agg(word_stem, ' ' ORDER BY pos), '') AS review_text
+        FROM docs LEFT JOIN (SELECT * FROM tm JOIN english USING (word)) USING (review_id) GROUP BY review_id""", "docs", "stop",
+        extra=(_TM_SQL, "kept AS (SELECT * FROM tm)", *PORTER2_CTES),
+    ),
+)
+def _(spark, sf):
+    return cleaning.clean_corpus_tm(fx.documents(spark, sf), fx.STOP).select("review_id", "review_text")
+
+
+@query(
+    "clean_corpus_tm_no_stem",
     with_sql(
         """SELECT review_id, coalesce(string_agg(word, ' ' ORDER BY pos), '') AS review_text
         FROM docs LEFT JOIN tm USING (review_id) GROUP BY review_id""", "docs", "stop", extra=(_TM_SQL,),
@@ -75,7 +87,7 @@ def _stems(docs):
 
 
 @query(
-    "stem_words",
+    "stem_words_table",
     with_sql("SELECT review_id, CAST(pos AS INTEGER) AS pos, word, word_stem FROM kept JOIN stems USING (word)", "kept", extra=(_STEMS_SQL,)),
 )
 def _(spark, sf):
@@ -84,7 +96,7 @@ def _(spark, sf):
 
 
 @query(
-    "stem_words_english",
+    "stem_words",
     with_sql("SELECT review_id, CAST(pos AS INTEGER) AS pos, word, word_stem FROM kept JOIN english USING (word)", "kept", extra=PORTER2_CTES),
 )
 def _(spark, sf):
@@ -136,7 +148,7 @@ def _(spark, sf):
 
 
 @query(
-    "clean_reviews",
+    "clean_reviews_table",
     with_sql(
         """SELECT review_id, binary_rating, rating, string_agg(word_stem, ' ' ORDER BY pos) AS review_text
         FROM rkept JOIN stems USING (word) GROUP BY ALL""", "kept", "rkept", extra=(_STEMS_SQL,),
@@ -158,7 +170,7 @@ def _(spark, sf):
 
 
 @query(
-    "clean_reviews_english",
+    "clean_reviews",
     with_sql("SELECT review_id, string_agg(word_stem, ' ' ORDER BY pos) AS review_text FROM kept JOIN english USING (word) GROUP BY review_id", "kept", extra=PORTER2_CTES),
 )
 def _(spark, sf):
