@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexispark.llm.shipping import ship
-from lexispark.llm.textarrays import U64, group_of, group_starts
+from lexispark.llm.textarrays import U64, group_of, group_starts, release
 
 BLOCK_KEYS = 1_000_000  # keys a task gathers before it sends
 BUCKET_KEYS = 1_000_000  # keys of a bucket, about
@@ -169,6 +169,7 @@ def ask(docs: DataFrame, keys_of: Callable[[pa.Array], Iterator[tuple[int, int,
         rest = block.emit()
         if rest is not None:
             yield rest
+        release()
 
     def settle(t: pa.Table) -> pa.Table:
         asked = []
@@ -188,7 +189,10 @@ def ask(docs: DataFrame, keys_of: Callable[[pa.Array], Iterator[tuple[int, int,
             flags[sent] |= hit[at : at + len(keys)]
             at += len(keys)
             replies.add(ids, rows, counts, flags)
-        return replies.table()
+        out = replies.table()
+        del asked, low, high, owner, hit, replies
+        release()
+        return out
 
     plain = docs.select(ID, ROW, "__llm_text").filter(F.col(ID).isNotNull())
     return plain.mapInArrow(request, REQUEST).groupBy("bucket").applyInArrow(settle, ANSWER)

@@ -97,7 +97,7 @@ def nearest(
     dim, total = sizes.dim, sizes.n
     rows = rows.filter(F.col("dim") == dim).select("id", "vector")
     # bounded sample for the codebooks
-    sample = np.array([r.vector for r in rows.orderBy(F.xxhash64("id"), "id").select("vector").limit(sample_rows).collect()])
+    sample = _numbers(rows.orderBy(F.xxhash64("id"), "id").select("vector").limit(sample_rows).toArrow().column("vector"))
     half = dim // 2
     books = [kmeans(sample[:, :half], codes) if half else np.zeros((1, 0)), kmeans(sample[:, half:], codes)]
     width = len(books[1])

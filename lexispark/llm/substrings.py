@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexispark.llm.exchange import BUCKET_KEYS, ID, PART, ROW, addressed, addresses, ask, bucket_of, flags_of, replies_of
-from lexispark.llm.textarrays import U64, mix, row_groups, text_buffers, window_hashes, word_bounds, word_hashes
+from lexispark.llm.textarrays import mix, release, row_groups, text_buffers, window_hashes, word_bounds, word_hashes
 
 SLICE_BYTES = 1 << 20
 
@@ -85,6 +85,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     edge = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]])))
                     spans.append([{"first": int(a), "words": int(b - a)} for a, b in zip(edge[::2], edge[1::2])])
                 w, m = w + n, m + windows
+        release()
         out = own_docs.select(names) if names else pa.table({})
         for name, values, kind in (("n_words", n_words, pa.int64()), ("n_removed", n_removed, pa.int64()), ("kept_sha256", digests, pa.string())):
             out = out.append_column(name, pa.array(values, kind))

@@ -27,7 +27,7 @@ from lexispark.llm.exchange import (
     ANSWER, BUCKET_KEYS, ID, PART, ROW, Replies, addressed, addresses, ask, bucket_of, bucket_order, first_documents, flags_of, replies_of,
 )
 from lexispark.llm.substrings import covered
-from lexispark.llm.textarrays import U64, group_of, group_starts, mix, row_groups, text_buffers, window_hashes, window_min
+from lexispark.llm.textarrays import U64, group_of, group_starts, mix, release, row_groups, text_buffers, window_hashes, window_min
 from lexispark.session import stage
 
 GRAM = 24
@@ -70,7 +70,8 @@ class Runs:
             heads = np.flatnonzero(new)
             starts.append(where[heads] + lo)
             counts.append(np.diff(np.concatenate([heads, [len(own)]])))
-            keys.append(grams[anchor[heads]])
+            # anchors have the smallest hashes: spread anew, as keys are dealt into buckets by value
+            keys.append(mix(grams[anchor[heads]] + U64(1)))
             rows.append(row[own[heads]])
         join = lambda x, kind: np.concatenate(x) if x else np.empty(0, kind)
         self.start, self.windows, self.keys = join(starts, np.int64), join(counts, np.int64), join(keys, U64)
@@ -218,7 +219,9 @@ def _ask_stretches(docs: DataFrame, found: DataFrame, size: int, anchor_buckets:
             windows, start = runs.windows[shared], runs.start[shared]
             data = _bytes_at(raw, start, windows + size - 1)
             held.append((ids[first:last][some], rows[first:last][some], counts[some], windows, runs.keys[shared], data))
-        return emit() if held else nothing
+        out = emit() if held else nothing
+        release()
+        return out
 
     def settle(t: pa.Table) -> pa.Table:
         asked = []
@@ -255,7 +258,10 @@ def _ask_stretches(docs: DataFrame, found: DataFrame, size: int, anchor_buckets:
                 flags[np.repeat(sent, windows)] = low[place] < np.repeat(own_owner, n)
             per_doc = np.add.reduceat(windows, np.cumsum(counts) - counts)
             answers.add(ids, rows, per_doc, flags)
-        return answers.table()
+        out = answers.table()
+        del asked, data, owner, same, which, inner, low, answers
+        release()
+        return out
 
     stretches = docs.groupBy(PART).cogroup(found.groupBy(PART)).applyInArrow(request, STRETCHES)
     return stretches.groupBy("bucket").applyInArrow(settle, ANSWER)
@@ -340,6 +346,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 digests.append(hashlib.sha256(kept).hexdigest())
                 if not digest_only:
                     texts.append(kept.decode("utf-8", "ignore"))
+        del by_anchor, by_window, shared_lists, window_lists
+        release()
         out = own_docs.select(names)
         for name, values, t in (("n_bytes", n_bytes, pa.int64()), ("n_removed", n_removed, pa.int64()), ("n_spans", n_spans, pa.int64()), ("kept_sha256", digests, pa.string())):
             out = out.append_column(name, pa.array(values, t))
