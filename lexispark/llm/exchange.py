@@ -67,8 +67,8 @@ def first_documents(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.n
 class Block:
     """Keys gathered for one block: for each document its address and keys in order."""
 
-    def __init__(self, buckets: int, earlier: bool):
-        self.buckets, self.earlier = buckets, earlier
+    def __init__(self, buckets: int, earlier: bool, kind: type = U64):
+        self.buckets, self.earlier, self.kind = buckets, earlier, kind
         self.clear()
 
     def clear(self) -> None:
@@ -98,7 +98,7 @@ class Block:
             heads = group_starts(doc[own])
             docs = doc[own][heads]
             n = np.diff(np.concatenate([heads, [len(own)]])).astype(np.int32)
-            out.append((int(b), ids[docs].tobytes(), rows[docs].tobytes(), n.tobytes(), np.packbits(sent[own]).tobytes(), np.packbits(local[own]).tobytes(), keys[own][sent[own]].tobytes()))
+            out.append((int(b), ids[docs].tobytes(), rows[docs].tobytes(), n.tobytes(), np.packbits(sent[own]).tobytes(), np.packbits(local[own]).tobytes(), keys[own][sent[own]].astype(self.kind).tobytes()))
         columns = list(zip(*out))
         kinds = [pa.int32(), *[pa.binary()] * 6]
         return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds)], names=["bucket", "ids", "rows", "counts", "sent", "local", "keys"])
@@ -151,15 +151,16 @@ def addresses(t: pa.Table) -> list[tuple[int | None, int]]:
     return list(zip(t.column(ID).to_pylist(), t.column(ROW).to_pylist()))
 
 
-def ask(docs: DataFrame, keys_of: Callable[[pa.Array], Iterator[tuple[int, int, np.ndarray, np.ndarray]]], buckets: int, parts: int, earlier: bool) -> DataFrame:
+def ask(docs: DataFrame, keys_of: Callable[[pa.Array], Iterator[tuple[int, int, np.ndarray, np.ndarray]]], buckets: int, parts: int, earlier: bool, kind: type = U64) -> DataFrame:
     """Packed answers for the keys of addressed ``docs``.
 
     ``keys_of`` yields (first row, last row, keys per row, keys) for a column of texts. A bit is set if the key stands in a
-    document with a smaller id (``earlier``) or in one with another id. Rows without id neither ask nor answer.
+    document with a smaller id (``earlier``) or in one with another id. Rows without id neither ask nor answer. With ``kind``
+    uint32 only the lower half of each key is sent: enough to rule keys out, as the bucket holds the upper bits.
     """
 
     def request(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = Block(buckets, earlier)
+        block = Block(buckets, earlier, kind)
         for batch in batches:
             ids, rows = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for first, last, counts, keys in keys_of(batch.column(2)):
@@ -179,7 +180,7 @@ def ask(docs: DataFrame, keys_of: Callable[[pa.Array], Iterator[tuple[int, int,
             n = int(counts.sum())
             sent = np.unpackbits(np.frombuffer(x["sent"], np.uint8), count=n).astype(bool)
             local = np.unpackbits(np.frombuffer(x["local"], np.uint8), count=n).astype(bool)
-            asked.append((ids, rows, counts, sent, local, np.frombuffer(x["keys"], U64), np.repeat(ids, counts)[sent]))
+            asked.append((ids, rows, counts, sent, local, np.frombuffer(x["keys"], kind), np.repeat(ids, counts)[sent]))
         low, high = first_documents(np.concatenate([p[5] for p in asked]), np.concatenate([p[6] for p in asked]))
         owner = np.concatenate([p[6] for p in asked])
         hit = owner > low if earlier else low != high

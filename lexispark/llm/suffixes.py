@@ -312,7 +312,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for first, last, _, _, runs in _runs(column, size):
             yield first, last, runs.counts, runs.keys
 
-    found = stage(ask(base, anchors, anchor_buckets, parts, earlier=False), "anchors")
+    found = stage(ask(base, anchors, anchor_buckets, parts, earlier=False, kind=np.uint32), "anchors")
     # one shuffle of the texts serves both uses
     dealt = base.select(*[F.col(f"`{c}`") for c in names], "__llm_text", ID, ROW, PART)
     answers = _ask_stretches(dealt, found, size, anchor_buckets, buckets, parts)
