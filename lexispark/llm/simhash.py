@@ -51,10 +51,9 @@ def majority_bits(hashes: np.ndarray) -> int:
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
 
 
-def _fingerprints_of(column: pa.Array, size: int) -> np.ndarray:
-    """Fingerprints as signed 64-bit numbers."""
+def hashes_by_row(column: pa.Array, size: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(row, shingle hashes) of each text that has words."""
     raw, at = text_buffers(column)
-    out = np.zeros(len(at) - 1, np.int64)
     for first, last in row_groups(np.diff(at), 1 << 21):
         starts, ends, counts = word_bounds(raw, at[first : last + 1])
         total = np.concatenate([[0], np.cumsum(counts)])
@@ -71,8 +70,15 @@ def _fingerprints_of(column: pa.Array, size: int) -> np.ndarray:
                 lengths = own_ends - own_starts
                 own_ends = np.cumsum(lengths + 1) - 1
                 own_starts = own_ends - lengths
-            value = majority_bits(shingle_hashes(text, own_starts.tolist(), own_ends.tolist(), size))
-            out[row] = value - (1 << 64) if value >> 63 else value
+            yield row, shingle_hashes(text, own_starts.tolist(), own_ends.tolist(), size)
+
+
+def _fingerprints_of(column: pa.Array, size: int) -> np.ndarray:
+    """Fingerprints as signed 64-bit numbers."""
+    out = np.zeros(len(column), np.int64)
+    for row, hashes in hashes_by_row(column, size):
+        value = majority_bits(hashes)
+        out[row] = value - (1 << 64) if value >> 63 else value
     return out
 
 
