@@ -34,8 +34,8 @@ def _key(line: Column) -> Column:
     return F.when(text != "", F.concat(F.hex(F.xxhash64(text)), F.substring(F.md5(text), 1, 16)))
 
 
-def boilerplate(pages: DataFrame, text_col: str, host_col: str, ratio: float = 0.2, min_pages: int = 10) -> DataFrame:
-    """(host, key, n_pages, n_host): lines on more than ``ratio`` of the pages of a host that has at least ``min_pages``.
+def boilerplate(pages: DataFrame, text_col: str, host_col: str, ratio: float = 0.2, min_pages: int = 10, line_pages: int = 1) -> DataFrame:
+    """(host, key, n_pages, n_host): lines on more than ``ratio`` of the pages, and at least ``line_pages``, of a host that has at least ``min_pages``.
 
     Every page counts a line once; pages with null or empty text count for their host. Counts are summed in each task before
     they are shuffled, so neither a hot host nor a line on every page lands in one task.
@@ -45,14 +45,14 @@ def boilerplate(pages: DataFrame, text_col: str, host_col: str, ratio: float = 0
     by_line = pages.select(host, F.explode(lines).alias("__key")).filter("__key is not null").groupBy("__host", "__key").agg(F.count("*").alias("__n_pages"))
     totals = pages.groupBy(F.col(host_col).alias("__total_host")).agg(F.count("*").alias("__n_host")).filter(F.col("__n_host") >= min_pages)
     # a line has to reach the least count any host asks for before it meets the totals
-    least = int(ratio * min_pages) + 1
+    least = max(line_pages, int(ratio * min_pages) + 1)
     often = by_line.filter(F.col("__n_pages") >= least).join(totals, F.col("__host").eqNullSafe(F.col("__total_host")))
     return often.filter(F.col("__n_pages") > ratio * F.col("__n_host"))
 
 
 def drop_boilerplate(
     pages: DataFrame, id_col: str = "page_id", text_col: str = "html", host_col: str = "host",
-    ratio: float = 0.2, min_pages: int = 10,
+    ratio: float = 0.2, min_pages: int = 10, line_pages: int = 1,
 ) -> DataFrame:
     """``pages`` with boilerplate lines taken out of ``text_col``, and ``__n_lines`` and ``__n_dropped``.
 
@@ -61,7 +61,7 @@ def drop_boilerplate(
     pages of their own. A null host is a host like any other. All columns stay; an empty table gives no rows.
     """
     rows = pages.withColumn("__row", F.xxhash64(F.col(id_col).cast("string"), text_col, host_col))
-    bad = stage(boilerplate(pages, text_col, host_col, ratio, min_pages).select("__host", "__key"), "boilerplate")
+    bad = stage(boilerplate(pages, text_col, host_col, ratio, min_pages, line_pages).select("__host", "__key"), "boilerplate")
     # which of its lines a page loses: small rows of hashes, salted as a line may be on every page
     keys = F.transform(F.split(F.col(text_col), "\n", -1), _key)
     seen = rows.select("__row", F.col(host_col).alias("__host"), F.explode(F.array_distinct(keys)).alias("__key")).filter("__key is not null")
