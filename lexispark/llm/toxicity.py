@@ -1,22 +1,25 @@
 """Toxicity by two class-conditional Kneser-Ney bigram models over shared backoff counts.
 
-For a class c and words v, w (D: discount; words below the cut of ``fit`` are one word "rare")
+For a class c and words v, w (D: discount; K: ``strength``; t: classes in which an expression stands)
 
-    P_c(w | v) = max(n_c(v w) - D, 0) / n_c(v .)  +  lambda_c(v) P_c(w)
-    P_c(w)     = max(n_c(w) - D, 0) / n_c         +  lambda_c P(w)
-    P(w)       = max(n(w) - D, 0) / n             +  lambda P_0(w)
+    P_c(w | v) = P(w | v) P(c | v w) / P(c | v)
+    P_c(w)     = max(n(w) - D, 0) / n  P(c | w) / P(c)  +  lambda P_0(w)
+    P(c | x)   = g(x) (max(n_c(x) - D, 0) + (K + t D) q_c(x)) / (n(x) + K)  +  (1 - g(x)) q_c(x)
+
+with q_c the backoff of an expression x: P(c) for a word, and for a bigram v w what P(c | v) and P_c(w) give together. g is
+the probability that the classes share x in another way than its backoff, from the likelihoods of its counts either way.
 
 All n are continuation counts: an expression counts once for each different word before it, so copies of a
 text add nothing. n(w) is that of both classes together and P_0 comes from the counts of w in all
-documents; both are shared, so what is rare gets nearly the same probability in both models and says
-nothing. The lambdas give away just what the terms before them leave.
+documents; both are shared. Every word and bigram of the labelled sample takes part, however rare: it is drawn to its backoff as far as its
+counts allow, a bigram to its word and a word to no evidence, and what neither class has seen says nothing, whatever the sizes of the
+classes. lambda gives away just what the discount leaves; P(c | v) comes from the counts of v and K.
 
 A text's evidence is ln P_toxic - ln P_ordinary by word: the mean over the text and the largest mean over ``window``
 consecutive words. A logistic curve, fitted on labelled rows the counts have not seen, turns these two into the score.
 
 Only the labelled rows for the two models are bounded (``per_class`` rows of each class at most, smallest hashes
-first); so are the tables that are sent to the tasks: at most the words of these rows that reach
-the cut. The counts behind P_0 go over all documents.
+first); so are the tables that are sent to the tasks: the words and bigrams of these rows. The counts behind P_0 go over all documents.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexispark.llm.shipping import ship
-from lexispark.llm.textarrays import U64, group_starts, mix, row_groups, text_buffers, word_bounds, word_hashes
+from lexispark.llm.textarrays import U64, group_starts, mix, release, row_groups, text_buffers, word_bounds, word_hashes
 from lexispark.session import stage
 
 D = 0.75
@@ -89,12 +92,11 @@ def _bigram_counts(texts: DataFrame) -> DataFrame:
 
 @dataclass
 class Evidence:
-    """Logarithms of P_toxic / P_ordinary: by word, by context and by bigram; and the curve to a score."""
+    """Logarithms of P_toxic / P_ordinary: by word and by bigram; and the curve to a score."""
 
     words: np.ndarray  # sorted hashes
-    word_ratio: np.ndarray  # of the word alone; the last entry is for any other word
-    lambda_ratio: np.ndarray  # of the backoff weights after the word; the last entry is for any other word
-    bigrams: np.ndarray  # sorted keys place(v) * size + place(w)
+    word_ratio: np.ndarray  # of the word after a context it was not seen with; the last entry is for any other word
+    bigrams: np.ndarray  # sorted keys context(v) * (size + 1) + place(w)
     bigram_ratio: np.ndarray
     curve: np.ndarray
     window: int
@@ -104,16 +106,20 @@ class Evidence:
         at[at == len(self.words)] = 0
         return np.where(self.words[at] == hashes, at, len(self.words)) if len(self.words) else np.zeros(len(hashes), np.int64)
 
+    def contexts(self, hashes: np.ndarray) -> np.ndarray:
+        """As ``places``, and a place of its own for what stands before the first word."""
+        return np.where(hashes == _FIRST, len(self.words) + 1, self.places(hashes))
+
     def by_word(self, words: np.ndarray, counts: np.ndarray) -> np.ndarray:
         here, size = self.places(words), len(self.words) + 1
         before = np.empty_like(here)
         before[1:] = here[:-1]
         heads = np.concatenate([[0], np.cumsum(counts)[:-1]])[counts > 0]
-        before[heads] = self.places(np.array([_FIRST]))[0]
-        ratio = self.lambda_ratio[before] + self.word_ratio[here]
+        before[heads] = size
+        ratio = self.word_ratio[here].astype(float)
         if len(self.bigrams):
-            key = before * size + here
-            both = np.flatnonzero((before < size - 1) & (here < size - 1))
+            key = before * (size + 1) + here
+            both = np.flatnonzero((before != size - 1) & (here < size - 1))
             at = np.searchsorted(self.bigrams, key[both])
             at[at == len(self.bigrams)] = 0
             hit = self.bigrams[at] == key[both]
@@ -170,16 +176,36 @@ def _likelihood(x: np.ndarray, y: np.ndarray, weight: np.ndarray, beta: np.ndarr
     return float((weight * (y * z - np.logaddexp(0, z))).sum())
 
 
+def _log_gamma(x: np.ndarray) -> np.ndarray:
+    """ln Gamma of positive numbers: Stirling's series eight steps further up."""
+    steps = np.log(x)
+    for i in range(1, 8):
+        steps = steps + np.log(x + i)
+    y = x + 8
+    return (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + 1 / (12 * y) - 1 / (360 * y**3) - steps
+
+
+def toxic_share(n0: np.ndarray, n1: np.ndarray, backoff: np.ndarray, strength: float, prior_own: float) -> np.ndarray:
+    """P(toxic | expression) from its counts in both classes and the share that its ``backoff`` expects."""
+    q1 = np.clip(backoff, 1e-9, 1 - 1e-9)
+    q0, total = 1 - q1, n0 + n1
+    back = strength + D * ((n0 > 0).astype(float) + (n1 > 0))
+    own = (np.maximum(n1 - D, 0) + back * q1) / (np.maximum(n0 - D, 0) + np.maximum(n1 - D, 0) + back)
+    rise = lambda a, n: _log_gamma(a + n) - _log_gamma(a)
+    better = rise(strength * q1, n1) + rise(strength * q0, n0) - rise(np.full(len(q1), strength), total) - n1 * np.log(q1) - n0 * np.log(q0)
+    weight = 1 / (1 + np.exp(-np.clip(better + np.log(prior_own / (1 - prior_own)), -40, 40)))
+    return weight * own + (1 - weight) * q1
+
+
 def _numpy(df: DataFrame) -> dict[str, np.ndarray]:
     table = df.toArrow()
     return {c: table.column(c).to_numpy() for c in table.column_names}
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 6_000, min_count: int = 12, min_share: float = 0.02, window: int = 24) -> Evidence:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 6_000, strength: float = 2.0, prior_own: float = 0.01, window: int = 24) -> Evidence:
     """The evidence tables and the curve, learned from labelled rows that are not held out.
 
-    Expressions take part from ``min_count`` occurrences in a class on, or ``min_share`` of the rows of the smaller class if that is more:
-    below, which class they stand in is chance. Labels other than 0 and 1, null ids and null texts teach nothing. Without a row of both classes all scores are the
+    Labels other than 0 and 1, null ids and null texts teach nothing. Without a row of both classes all scores are the
     share of toxic labels (or 0).
     """
     ship(docs.sparkSession)
@@ -189,66 +215,60 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     shares = {r.toxic: r.n for r in own.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n0, n1 = shares.get(0, 0), shares.get(1, 0)
     prior = n1 / max(1, n0 + n1)
-    nothing = Evidence(np.empty(0, U64), np.zeros(1), np.zeros(1), np.empty(0, np.int64), np.empty(0), np.array([np.log(max(prior, 1e-9) / max(1 - prior, 1e-9)), 0.0, 0.0]), window)
+    nothing = Evidence(np.empty(0, U64), np.zeros(1), np.empty(0, np.int64), np.empty(0), np.array([np.log(max(prior, 1e-9) / max(1 - prior, 1e-9)), 0.0, 0.0]), window)
     if min(n0, n1) < 2:
         return nothing
-    least = max(min_count, int(min_share * min(n0, n1, per_class)))
     # bounded: 2 * per_class ids
     taken = [own.filter(F.col("toxic") == c).orderBy(F.xxhash64("id"), "id").limit(per_class) for c in (0, 1)]
     sample = stage(base.join(F.broadcast(taken[0].union(taken[1])), "id").select("id", "toxic", "text"), "toxicity-sample")
     # a third of the rows is kept for the curve
     fold = F.pmod(F.xxhash64("id", F.lit("curve")), F.lit(3))
     pairs = stage(_bigram_counts(sample.filter(fold != 0).select("toxic", "text")), "toxicity-bigrams")
-    kept = lambda: (F.col("n0") >= least) | (F.col("n1") >= least)
     # a word's own counts: the different words before it
     sides = [F.sum(F.when(F.col(f"n{c}") > 0, 1).otherwise(0)).alias(f"n{c}") for c in (0, 1)]
     by_word = pairs.groupBy("w").agg(*sides, F.count("*").alias("before"))
-    word_rows = _numpy(by_word.filter(kept()))
+    word_rows = _numpy(by_word)
     total = by_word.agg(*[F.sum(c).alias(c) for c in ("n0", "n1", "before")]).first()
     if not total.n0 or not total.n1:
         return nothing
-    contexts = pairs.groupBy("v").agg(
-        F.sum("n0").alias("n0"), F.sum("n1").alias("n1"),
-        *[F.sum(F.when(kept(), F.greatest(F.col(f"n{c}") - D, F.lit(0.0))).otherwise(0.0)).alias(f"held{c}") for c in (0, 1)],
-        F.max(kept()).alias("kept"),
-    ).filter("kept")
-    context_rows = _numpy(contexts.select("v", "n0", "n1", "held0", "held1"))
-    bigram_rows = _numpy(pairs.filter(kept()))
+    context_rows = _numpy(pairs.groupBy("v").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")))
 
     order = np.argsort(word_rows["w"].view(U64))
     words = word_rows["w"].view(U64)[order]
     n = [word_rows[f"n{c}"][order].astype(float) for c in (0, 1)]
     before = word_rows["before"][order].astype(float)
     corpus, everything = corpus_counts(base, words)
-    # the last entry of each array is for rare words together
+    # the last entry of each array is for the words outside the sample together
     zero = np.append(corpus, everything - corpus.sum()) + 1.0
     zero /= zero.sum()
+    share = [float(total[f"n{c}"]) / (total.n0 + total.n1) for c in (0, 1)]
 
-    def level(count: np.ndarray, n: float, below: np.ndarray) -> np.ndarray:
-        full = np.append(count, max(0.0, n - count.sum()))
-        part = np.maximum(full - D, 0) / n
-        return part + (1 - part.sum()) * below
-
-    shared = level(before, float(total.before), zero)
-    alone = [level(n[c], float(total[f"n{c}"]), shared) for c in (0, 1)]
+    held = np.maximum(before - D, 0) / float(total.before)
+    toxic = toxic_share(n[0], n[1], np.full(len(words), share[1]), strength, prior_own)
+    found = [1 - toxic, toxic]
+    alone = [np.append(held * found[c] / share[c], 0.0) + (1 - held.sum()) * zero for c in (0, 1)]
     size = len(words) + 1
-    model = Evidence(words, np.log(alone[1] / alone[0]), np.zeros(size), np.empty(0, np.int64), np.empty(0), nothing.curve, window)
-    at_v = model.places(context_rows["v"].view(U64))
-    lam = [np.ones(size), np.ones(size)]
-    count_v = [np.ones(size), np.ones(size)]
-    for c in (0, 1):
-        own_total = np.maximum(context_rows[f"n{c}"].astype(float), 1)
-        inside = at_v < size - 1
-        lam[c][at_v[inside]] = (1 - context_rows[f"held{c}"] / own_total)[inside]
-        count_v[c][at_v[inside]] = own_total[inside]
-    model.lambda_ratio = np.log(lam[1] / lam[0])
-    bv, bw = model.places(bigram_rows["v"].view(U64)), model.places(bigram_rows["w"].view(U64))
-    use = (bv < size - 1) & (bw < size - 1)
-    bv, bw = bv[use], bw[use]
-    p = [np.maximum(bigram_rows[f"n{c}"][use] - D, 0) / count_v[c][bv] + lam[c][bv] * alone[c][bw] for c in (0, 1)]
-    keys = bv * size + bw
-    order = np.argsort(keys)
-    model.bigrams, model.bigram_ratio = keys[order], np.log(p[1] / p[0])[order]
+    model = Evidence(words, np.log(alone[1] / alone[0]), np.empty(0, np.int64), np.empty(0), nothing.curve, window)
+    # contexts are the words of the sample and what stands before the first word
+    odds = np.full(size + 1, np.log(share[1] / share[0]))
+    odds[model.contexts(context_rows["v"].view(U64))] = np.log((context_rows["n1"] + strength * share[1]) / (context_rows["n0"] + strength * share[0]))
+    del word_rows, context_rows, order, before, n, corpus, zero, held, toxic, found, alone
+
+    def bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            v, w, n0, n1 = (batch.column(i).to_numpy() for i in range(4))
+            bv, bw = model.contexts(v.view(U64)), model.places(w.view(U64))
+            backoff = 1 / (1 + np.exp(-(odds[bv] + model.word_ratio[bw])))
+            share = toxic_share(n0.astype(float), n1.astype(float), backoff, strength, prior_own)
+            ratio = (np.log(share / (1 - share)) - odds[bv]).astype(np.float32)
+            yield pa.RecordBatch.from_arrays([pa.array(bv * (size + 1) + bw), pa.array(ratio)], names=["key", "ratio"])
+
+    # worked out in the tasks: the driver gets twelve bytes of each
+    bigram_rows = _numpy(pairs.select("v", "w", "n0", "n1").mapInArrow(bigrams, "key long, ratio float"))
+    order = np.argsort(bigram_rows["key"])
+    model.bigrams, model.bigram_ratio = bigram_rows["key"][order], bigram_rows["ratio"][order]
+    del bigram_rows, order
+    release()
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -274,7 +294,7 @@ def corpus_counts(docs: DataFrame, words: np.ndarray) -> tuple[np.ndarray, int]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(words) + 1, np.int64)
-        look = Evidence(words, np.zeros(1), np.zeros(1), np.empty(0, np.int64), np.empty(0), np.zeros(3), 1)
+        look = Evidence(words, np.zeros(1), np.empty(0, np.int64), np.empty(0), np.zeros(3), 1)
         for batch in batches:
             for _, _, hashes, _ in _slices(batch.column(0)):
                 total += np.bincount(look.places(hashes), minlength=len(words) + 1)
