@@ -140,3 +140,50 @@ def op5_inverted_multi_index(spark: SparkSession, sf: str) -> DataFrame:
     from lexispark.llm.multiindex import nearest
 
     return nearest(table(spark, sf, "embeddings"), k=10, every=100)
+
+
+URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
+
+
+@query
+def op11_url_filters(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages are labelled by the row of ``labels`` with their id."""
+    from lexispark.llm.urls import judge_urls
+
+    judged = judge_urls(table(spark, sf, "pages"), table(spark, sf, "labels"), URL_RULES, support=0.005, least_pages=5, confidence=80)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+LLM_ORACLES["op11_url_filters"] = r"""
+WITH low AS (SELECT *, regexp_replace(translate(coalesce(url, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9]+', chr(1), 'g') AS lo,
+    CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest, row_number() OVER () AS rn FROM pages),
+part AS (SELECT *, CASE WHEN contains(lo, '://') THEN substr(lo, instr(lo, '://') + 3) ELSE lo END AS lr,
+    CASE WHEN contains(lo, '://') THEN substr(lo, 1, instr(lo, '://') - 1) ELSE '' END AS ls,
+    translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM low),
+raw AS (SELECT rn, unnest(list_concat(
+    list_transform(list_filter(regexp_split_to_array(ls, '[^a-z]+'), lambda x: x <> ''), lambda x: 's:' || x),
+    list_transform(list_filter(regexp_split_to_array(regexp_extract(lr, '^([^/?#]*)', 1), '[.:@-]+'), lambda x: x <> ''), lambda x: 'h:' || x),
+    list_transform(list_filter(regexp_split_to_array(regexp_extract(lr, '^[^/?#]*([^?#]*)', 1), '[/._-]+'), lambda x: x <> ''), lambda x: 'p:' || x),
+    list_transform(list_filter(regexp_split_to_array(regexp_extract(lr, '^[^?#]*\?([^#]*)', 1), '[&;]+'), lambda x: x <> ''), lambda x: 'q:' || x),
+    list_transform(list_filter(regexp_split_to_array(regexp_extract(lr, '^[^#]*#((?s:.*))', 1), '[/&;._-]+'), lambda x: x <> ''), lambda x: 'f:' || x))) AS t FROM part),
+tok AS MATERIALIZED (SELECT DISTINCT rn, replace(t, chr(1), '#') AS token FROM raw),
+lab AS MATERIALIZED (SELECT rn, bool_or(coalesce(quality = 0, false) OR coalesce(toxic = 1, false)) AS bad FROM part JOIN labels ON doc_id = page_id
+  WHERE quality IS NOT NULL OR toxic IS NOT NULL GROUP BY rn),
+least AS (SELECT greatest(5, CAST(ceil(0.005 * count(*)) AS BIGINT)) AS k FROM lab),
+tk AS MATERIALIZED (SELECT rn, bad, token FROM tok JOIN lab USING (rn)),
+cls AS (SELECT token, list(rn ORDER BY rn) AS on_pages FROM tk GROUP BY token HAVING count(*) FILTER (bad) >= (SELECT k FROM least)),
+rep AS (SELECT min(token) AS token FROM cls GROUP BY on_pages),
+own AS MATERIALIZED (SELECT * FROM tk JOIN rep USING (token)),
+sets AS (SELECT [token] AS s, count(*) AS n, count(*) FILTER (bad) AS nb FROM own GROUP BY ALL
+  UNION ALL SELECT [a.token, b.token], count(*), count(*) FILTER (a.bad) FROM own a JOIN own b ON a.rn = b.rn AND a.token < b.token GROUP BY ALL
+  UNION ALL SELECT [a.token, b.token, c.token], count(*), count(*) FILTER (a.bad) FROM own a JOIN own b ON a.rn = b.rn AND a.token < b.token
+    JOIN own c ON a.rn = c.rn AND b.token < c.token GROUP BY ALL),
+sure AS MATERIALIZED (SELECT s, len(s) AS n_s, unnest(s) AS token FROM sets WHERE nb >= (SELECT k FROM least) AND nb * 100 >= n * 80),
+hit AS (SELECT DISTINCT rn FROM (SELECT rn, s FROM tok JOIN sure USING (token) GROUP BY rn, s, n_s HAVING count(*) = n_s)),
+rules(action, rule) AS (VALUES ('allow', 'com/'), ('block', 'example.com/en/'), ('allow', 'www.example.com/en/'), ('block', 'net/es/'), ('block', 'net/fr/')),
+fit AS (SELECT rn, arg_max(rule, length(rule)) AS rule, arg_max(action, length(rule)) AS verdict FROM part JOIN rules
+  ON (host = split_part(rule, '/', 1) OR ends_with(host, '.' || split_part(rule, '/', 1))) AND starts_with(path, substr(rule, instr(rule, '/'))) GROUP BY rn)
+SELECT page_id, host, path, rule, CASE WHEN rule IS NOT NULL THEN verdict WHEN hit.rn IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict
+FROM part LEFT JOIN fit USING (rn) LEFT JOIN hit USING (rn)
+"""
