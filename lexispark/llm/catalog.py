@@ -187,3 +187,64 @@ fit AS (SELECT rn, arg_max(rule, length(rule)) AS rule, arg_max(action, length(r
 SELECT page_id, host, path, rule, CASE WHEN rule IS NOT NULL THEN verdict WHEN hit.rn IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict
 FROM part LEFT JOIN fit USING (rn) LEFT JOIN hit USING (rn)
 """
+
+
+@query
+def op12_spelling_variants(spark: SparkSession, sf: str) -> DataFrame:
+    from lexispark.llm.spelling import spelling_variants
+
+    return spelling_variants(table(spark, sf, "documents"), least=7, rarest=2, times=10)
+
+
+# crc32 bit by bit from its polynomial; near words by the variants with one letter left out
+LLM_ORACLES["op12_spelling_variants"] = r"""
+WITH RECURSIVE crc AS MATERIALIZED (SELECT list(c ORDER BY b) AS t FROM (SELECT b, list_reduce(list_concat([b], list_transform(range(8), lambda k: CAST(0 AS BIGINT))),
+    lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c >> 1, CAST(3988292384 AS BIGINT)) ELSE c >> 1 END) AS c FROM (SELECT CAST(unnest(range(256)) AS BIGINT) AS b))),
+runs AS MATERIALIZED (SELECT doc_id, run, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{C0}-\x{FF}]{7,}')) AS run FROM documents) GROUP BY ALL),
+codes AS (SELECT *, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run)) AS x FROM runs),
+hashed AS (SELECT run, n, xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], list_transform(range(1, len(x), 2), lambda i: CAST(('0x' || substr(x, CAST(i AS BIGINT), 2)) AS BIGINT))),
+    lambda c, b: xor(c >> 8, t[CAST(xor(c, b) & 255 AS BIGINT) + 1])), CAST(4294967295 AS BIGINT)) AS h FROM codes, crc),
+changed AS (SELECT n, CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM hashed),
+voc AS MATERIALIZED (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM changed WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+cut AS MATERIALIZED (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS short FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM voc)),
+near AS (SELECT a.word, b.word AS near, b.n FROM cut a JOIN cut b ON a.short = b.short AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM cut a JOIN voc b ON a.short = b.word
+  UNION SELECT b.word, a.word, a.n FROM cut a JOIN voc b ON a.short = b.word),
+best AS (SELECT word, count(*) AS n_near, min((-n, near)) AS b FROM near GROUP BY word),
+form AS MATERIALIZED (SELECT word, voc.n, coalesce(n_near, 0) AS n_near, CASE WHEN -b[1] >= 10 * voc.n THEN b[2] END AS form, CASE WHEN -b[1] >= 10 * voc.n THEN -b[1] END AS form_n
+  FROM voc LEFT JOIN best USING (word)),
+chain AS (SELECT word, word AS root, form AS onward FROM form UNION ALL SELECT c.word, f.word, f.form FROM chain c JOIN form f ON c.onward = f.word)
+SELECT f.word, f.form, c.root, f.n, f.n_near, f.form_n FROM form f JOIN chain c USING (word) WHERE c.onward IS NULL
+"""
+
+
+@query
+def op13_collocations(spark: SparkSession, sf: str) -> DataFrame:
+    from lexispark.llm.collocations import collocations
+
+    return collocations(table(spark, sf, "documents"), least=100, longest=5, top=2000, share=100)
+
+
+LLM_ORACLES["op13_collocations"] = r"""
+WITH piece AS (SELECT coalesce(lang, 'und') AS lang, rn, unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')) AS piece, generate_subscripts(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]'), 1) AS pn
+  FROM (SELECT lang, row_number() OVER () AS rn, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents)),
+word AS MATERIALIZED (SELECT lang, rn, pn, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM (SELECT lang, rn, pn, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM piece)),
+total AS (SELECT lang, count(*) AS n FROM word GROUP BY lang),
+run AS (SELECT lang, w AS w1, lead(w, 1) OVER p AS w2, lead(w, 2) OVER p AS w3, lead(w, 3) OVER p AS w4, lead(w, 4) OVER p AS w5 FROM word WINDOW p AS (PARTITION BY rn, pn ORDER BY i)),
+phrase AS MATERIALIZED (
+  SELECT lang, [w1] AS ws, count(*) AS f FROM run GROUP BY ALL HAVING count(*) >= 100
+  UNION ALL SELECT lang, [w1, w2], count(*) FROM run WHERE w2 IS NOT NULL GROUP BY ALL HAVING count(*) >= 100
+  UNION ALL SELECT lang, [w1, w2, w3], count(*) FROM run WHERE w3 IS NOT NULL GROUP BY ALL HAVING count(*) >= 100
+  UNION ALL SELECT lang, [w1, w2, w3, w4], count(*) FROM run WHERE w4 IS NOT NULL GROUP BY ALL HAVING count(*) >= 100
+  UNION ALL SELECT lang, [w1, w2, w3, w4, w5], count(*) FROM run WHERE w5 IS NOT NULL GROUP BY ALL HAVING count(*) >= 100),
+cand AS MATERIALIZED (SELECT lang, ws, f AS a FROM phrase WHERE len(ws) > 1),
+cut AS (SELECT lang, ws, a, unnest(range(1, len(ws))) AS k FROM cand),
+scored AS (SELECT c.lang, c.ws, a, n, min((CAST(1000 * CAST(a AS HUGEINT) * CAST(n AS HUGEINT) // (CAST(p.f AS HUGEINT) * CAST(q.f AS HUGEINT)) AS BIGINT), k, p.f, q.f)) AS best
+  FROM cut c JOIN phrase p ON p.lang = c.lang AND p.ws = c.ws[1:k] JOIN phrase q ON q.lang = c.lang AND q.ws = c.ws[k + 1:] JOIN total t ON t.lang = c.lang GROUP BY ALL),
+part AS (SELECT lang, a, ws, unnest(range(2, len(ws))) AS m FROM cand),
+inside AS (SELECT lang, ws[i:i + m - 1] AS ws, max(a) AS longer FROM (SELECT *, unnest(range(1, len(ws) - m + 2)) AS i FROM part) GROUP BY ALL),
+kept AS (SELECT s.*, array_to_string(s.ws, ' ') AS phrase FROM scored s LEFT JOIN inside i ON i.lang = s.lang AND i.ws = s.ws WHERE longer IS NULL OR 100 * longer < 100 * a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY best[1] DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a, best[3] AS l, best[4] AS r, n, best[1] AS score FROM ranked WHERE rank <= 2000
+"""
