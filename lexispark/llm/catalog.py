@@ -72,19 +72,16 @@ def op7_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
 
     # written once, as taking the lines out of the markup costs more than all that follows
     pages = stage(table(spark, sf, "pages").select("page_id", host_of(F.col("url")).alias("host"), html_lines(F.col("html")).alias("text")), "page-lines")
-    cleaned = drop_boilerplate(pages, "page_id", "text", "host", ratio=0.2, min_pages=10)
+    cleaned = drop_boilerplate(pages, "page_id", "text", "host", ratio=0.2, line_pages=3)
     return cleaned.select(
         "page_id", "host", F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"), F.sha2("text", 256).alias("kept_sha256")
     )
 
 
-def _line_sql() -> str:
-    from lexispark.llm.lines import BREAKS, HIDDEN, TAG
-
-    return rf"""
+LLM_ORACLES["op7_line_dedup"] = r"""
 WITH pg AS MATERIALIZED (SELECT page_id, row_number() OVER () AS rn,
-    regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '{HIDDEN}', '', 'g'), '{BREAKS}', chr(10), 'g'),
-      '{TAG}', '', 'g'), '\s*\n\s*', chr(10), 'g'), '^\n|\n$', '', 'g') AS text,
+    regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<!--.*?-->|<script[^>]*>.*?</script>|<style[^>]*>.*?</style>', '', 'g'), '(?i)</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|figcaption|figure|footer|form|h[1-6]|head|header|hr|html|li|main|nav|ol|p|pre|section|table|td|th|title|tr|ul)(?:\s[^>]*)?/?>', chr(10), 'g'),
+      '<[^>]*>', '', 'g'), '\s*\n\s*', chr(10), 'g'), '^\n|\n$', '', 'g') AS text,
     regexp_replace(nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)), ''), '^www\.', '') AS host
   FROM pages),
 line AS MATERIALIZED (SELECT rn, host, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM pg),
@@ -92,7 +89,7 @@ tidy AS MATERIALIZED (SELECT *, trim(raw, ' ' || chr(9) || chr(13) || chr(12) ||
 totals AS (SELECT host, count(*) AS n_host FROM pg GROUP BY host),
 often AS (SELECT host, txt, count(DISTINCT rn) AS n_pages FROM tidy WHERE txt <> '' GROUP BY host, txt),
 bad AS MATERIALIZED (SELECT o.host, o.txt FROM often o JOIN totals t ON o.host IS NOT DISTINCT FROM t.host
-  WHERE t.n_host >= 10 AND o.n_pages > 0.2 * t.n_host),
+  WHERE o.n_pages >= 3 AND o.n_pages > 0.2 * t.n_host),
 marked AS (SELECT t.rn, t.raw, t.pos, b.txt IS NOT NULL AS gone FROM tidy t LEFT JOIN bad b ON t.host IS NOT DISTINCT FROM b.host AND t.txt = b.txt),
 kept AS (SELECT rn, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
     coalesce(string_agg(raw, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '') AS text FROM marked GROUP BY rn)
@@ -101,8 +98,6 @@ FROM pg LEFT JOIN kept k USING (rn)
 """
 
 
-LLM_ORACLES["op7_line_dedup"] = _line_sql()
-
 
 @query
 def op8_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:

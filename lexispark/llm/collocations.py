@@ -4,9 +4,11 @@ A phrase is as frequent as its parts at most, so three passes are enough: words,
 of whose pairs are frequent. What is frequent travels as a Bloom filter of fixed size: a false entry costs some counting and
 changes nothing, as all counts are exact.
 
-A task counts in a trie over word ids: a node for each first word, below it hash containers of the remaining ids. A container that
-grows too large bursts into one per next word. When the trie is full its largest subtrees go out whole as sorted runs, and the runs
-of a prefix partition are merged in one place. A first word with very many followers is dealt over several partitions.
+A task counts in a shallow trie over word ids with containers of phrases below it. As in a HAT-trie's hybrid containers, one serves a range
+of first words at the start; one that grows too large bursts in two, down to a single first word and a range of second words. The
+containers are sorted columns, not hash tables: whole blocks of text enter them at once. When the trie is full its largest subtrees
+go out whole as sorted runs, and the runs of a prefix partition are merged in one place. A first word with very many followers is
+dealt over several partitions.
 """
 
 from __future__ import annotations
@@ -28,54 +30,111 @@ BREAKS[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
 GAPS = BREAKS.copy()
 GAPS[[0x20, 0x09]] = True
 SLICE_BYTES = 1 << 20  # text handled at once
-TRIE_ENTRIES = 400_000  # phrases a task holds before it sends subtrees on
-BURST = 4_096  # phrases of a container before it bursts
+WORD_ENTRIES = 400_000  # words a task holds before it sends them on
+TRIE_ENTRIES = 2_000_000  # phrases a task holds before it sends subtrees on
+BURST = 1 << 16  # phrases of a container before it bursts
 PREFIX_SPLIT = 64  # partitions over which the phrases of one first word are dealt
-PART_BYTES = 16 << 20  # text behind a prefix partition
+PART_BYTES = 4 << 20  # text behind a prefix partition
 BLOOM_BITS = 1 << 26
 RUN = "part int, lang string, size int, ids binary, counts binary"
 
 
+class Container:
+    """Phrases whose packed prefix lies in one range of the trie: added as sorted blocks, merged when they have doubled."""
+
+    def __init__(self) -> None:
+        self.blocks: list[tuple[np.ndarray, np.ndarray]] = []
+        self.merged = self.pending = 0
+
+    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        self.blocks.append((keys, counts))
+        self.pending += len(counts)
+
+    def merge(self) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.blocks) != 1:
+            self.blocks = [counted(np.concatenate([k for k, _ in self.blocks]), np.concatenate([n for _, n in self.blocks]))]
+        self.merged, self.pending = len(self.blocks[0][1]), 0
+        return self.blocks[0]
+
+    def __len__(self) -> int:
+        return self.merged + self.pending
+
+
 class Burst:
-    """Counts of phrases of word ids (tuples of ints): first word, then containers that burst by the next word."""
+    """Counts of phrases of one length: a shallow trie over the first two word ids with containers below it.
+
+    A node covers a range of first words, later one first word or a range of its second words; the container of a node that grows
+    over ``BURST`` phrases bursts in two at its middle prefix.
+    """
 
     def __init__(self) -> None:
-        self.roots: dict[int, list] = {}  # first word -> [entries, container or children by next word]
-        self.entries = 0
-
-    def add(self, first: int, rest: tuple, n: int) -> None:
-        node = self.roots.get(first)
-        if node is None:
-            node = self.roots[first] = [0, {}, None]
-        box = node[1] if node[2] is None else node[2].setdefault(rest[0], {})
-        if rest in box:
-            box[rest] += n
-        else:
-            box[rest] = n
-            node[0] += 1
-            self.entries += 1
-            if node[2] is None and len(box) > BURST:
-                children: dict[int, dict] = {}
-                for key, count in box.items():
-                    children.setdefault(key[0], {})[key] = count
-                node[1], node[2] = {}, children
-
-    def spill(self, left: int) -> Iterator[tuple[int, list]]:
-        """(first word, sorted (rest, count)) of the largest subtrees, until at most ``left`` entries stay."""
-        for first in sorted(self.roots, key=lambda w: -self.roots[w][0]):
-            if self.entries <= left:
+        self.starts = np.zeros(1, U64)  # the first packed prefix of each node
+        self.nodes = [Container()]
+
+    @property
+    def entries(self) -> int:
+        return sum(map(len, self.nodes))
+
+    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        """Sorted distinct ``keys`` (packed ids, one row for each phrase) with their counts."""
+        edges = np.append(np.searchsorted(keys[:, 0], self.starts), len(keys))
+        for k in np.flatnonzero(np.diff(edges))[::-1].tolist():
+            node = self.nodes[k]
+            node.add(keys[edges[k] : edges[k + 1]], counts[edges[k] : edges[k + 1]])
+            if node.pending > max(BURST // 2, node.merged):
+                node.merge()
+                if len(node) > BURST:
+                    self._burst(k)
+
+    def _burst(self, k: int) -> None:
+        keys, counts = self.nodes[k].merge()
+        middle = keys[len(keys) // 2, 0]
+        if middle == keys[0, 0]:  # a prefix of two words is never taken apart
+            later = keys[:, 0] > middle
+            if not later.any():
+                return
+            middle = keys[np.argmax(later), 0]
+        cut = int(np.searchsorted(keys[:, 0], middle))
+        halves = [Container(), Container()]
+        for half, part in zip(halves, (slice(None, cut), slice(cut, None))):
+            half.add(keys[part], counts[part])
+            half.merge()
+        self.nodes[k : k + 1] = halves
+        self.starts = np.insert(self.starts, k + 1, middle)
+
+    def spill(self, left: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The sorted runs of the largest containers, until at most ``left`` phrases stay; the nodes stay for what is to come."""
+        now = self.entries
+        for k in sorted(range(len(self.nodes)), key=lambda k: -len(self.nodes[k])):
+            if now <= left:
                 return
-            n, box, children = self.roots.pop(first)
-            self.entries -= n
-            run = list(box.items())
-            for child in (children or {}).values():
-                run += child.items()
-            run.sort()
-            yield first, run
+            now -= len(self.nodes[k])
+            if len(self.nodes[k]):
+                yield self.nodes[k].merge()
+                self.nodes[k] = Container()
+
+
+def counted(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct rows of ``keys`` in order, with their counts."""
+    order = np.argsort(keys[:, 0], kind="stable") if keys.shape[1] == 1 else np.lexsort(keys.T[::-1])
+    keys = keys[order]
+    heads = group_starts_of_rows(keys)
+    n = np.diff(np.append(heads, len(keys))) if counts is None else np.add.reduceat(counts[order], heads)
+    return keys[heads], n.astype(np.int64)
+
+
+def packed(ids: list[np.ndarray]) -> np.ndarray:
+    """Columns of word ids, two to a column of 64 bits."""
+    pairs = [(ids[k].astype(U64) << U64(32)) | (ids[k + 1].astype(U64) if k + 1 < len(ids) else U64(0)) for k in range(0, len(ids), 2)]
+    return np.stack(pairs, axis=1)
+
+
+def unpacked(keys: np.ndarray, size: int) -> np.ndarray:
+    return np.stack([(keys[:, k // 2] >> U64(32)) if k % 2 == 0 else (keys[:, k // 2] & U64(0xFFFFFFFF)) for k in range(size)], axis=1).astype(np.int64)
 
 
 class Counter:
-    """Phrases of one task by language; word ids are local, runs carry the 64-bit hashes of the words."""
+    """Phrases of one task by language and length; word ids are local, runs carry the 64-bit hashes of the words."""
 
     def __init__(self, parts: int):
         self.parts = parts
@@ -83,7 +142,8 @@ class Counter:
         self.words: list[int] = []
         self.tries: dict[tuple[str, int], Burst] = {}
 
-    def _local(self, hashes: np.ndarray) -> np.ndarray:
+    def local(self, hashes: np.ndarray) -> np.ndarray:
+        """Ids of words in this task."""
         same, inverse = np.unique(hashes, return_inverse=True)
         known, words = self.ids, self.words
         out = np.empty(len(same), np.int64)
@@ -95,19 +155,9 @@ class Counter:
             out[k] = i
         return out[inverse]
 
-    def add(self, lang: str, phrases: np.ndarray) -> None:
-        """Count the rows of ``phrases`` (word hashes, one column for each word)."""
-        size = phrases.shape[1]
-        ids = self._local(phrases.ravel()).reshape(phrases.shape)
-        order = np.lexsort(ids.T[::-1])
-        ids = ids[order]
-        heads = group_starts_of_rows(ids)
-        n = np.diff(np.append(heads, len(ids)))
-        trie = self.tries.setdefault((lang, size), Burst())
-        columns = ids[heads].T.tolist()
-        add = trie.add
-        for first, rest, k in zip(columns[0], zip(*columns[1:]), n.tolist()):
-            add(first, rest, k)
+    def add(self, lang: str, ids: list[np.ndarray]) -> None:
+        """Count phrases given as columns of word ids."""
+        self.tries.setdefault((lang, len(ids)), Burst()).add(*counted(packed(ids)))
 
     def full(self) -> bool:
         return sum(t.entries for t in self.tries.values()) > TRIE_ENTRIES
@@ -117,20 +167,18 @@ class Counter:
         words = np.array(self.words, U64)
         share = left // max(1, len(self.tries))
         for (lang, size), trie in self.tries.items():
-            leaving = [((first, *rest), n) for first, run in trie.spill(share) for rest, n in run]
+            leaving = list(trie.spill(share))
             if not leaving:
                 continue
-            keys = words[np.array([k for k, _ in leaving], np.int64)]
-            counts = np.array([n for _, n in leaving], np.int64)
+            keys = words[unpacked(np.concatenate([k for k, _ in leaving]), size)]
+            counts = np.concatenate([n for _, n in leaving])
             part = prefix_part(keys, lang, self.parts)
             order = np.lexsort((*keys.T[::-1], part))
-            keys, counts, part = keys[order], counts[order], part[order]
+            keys, counts, part = keys[order], counts[order].astype(np.int32), part[order]
             edges = np.append(group_starts(part), len(part))
             rows = [(int(part[a]), lang, size, keys[a:b].tobytes(), counts[a:b].tobytes()) for a, b in zip(edges[:-1], edges[1:])]
             kinds = [pa.int32(), pa.string(), pa.int32(), pa.binary(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), kinds)], names=["part", "lang", "size", "ids", "counts"])
-        if not left:
-            self.tries, self.ids, self.words = {}, {}, []
 
 
 def group_starts_of_rows(rows: np.ndarray) -> np.ndarray:
@@ -212,7 +260,7 @@ def count_words(docs: DataFrame, parts: int) -> DataFrame:
                     else:
                         own[1] += k
                 size += len(box)
-                if size > TRIE_ENTRIES:
+                if size > WORD_ENTRIES:
                     yield from send()
                     size = 0
         yield from send()
@@ -253,12 +301,19 @@ def count_phrases(docs: DataFrame, sizes: tuple[int, ...], known: int, bloom, pa
         for batch in batches:
             for lang, _, _, _, hashes, joined in words_of(batch.column(1), batch.column(0)):
                 good, span = _phrases_in(hashes, joined, known, bits, lang), known
+                ids = None
                 for size in sorted(sizes):
                     while span < size:  # a phrase is open if both its parts of one word less are, and its words are of one piece
                         good, span = good[:-1] & good[1:] & joined[span : span + max(len(good) - 1, 0)], span + 1
                     at = np.flatnonzero(good)
+                    if ids is None and len(at):  # the shortest phrases hold all words that are needed
+                        used = np.zeros(len(hashes), bool)
+                        for k in range(size):
+                            used[at + k] = True
+                        ids = np.zeros(len(hashes), np.int64)
+                        ids[used] = counter.local(hashes[used])
                     if len(at):
-                        counter.add(lang, np.stack([hashes[at + k] for k in range(size)], axis=1))
+                        counter.add(lang, [ids[at + k] for k in range(size)])
                 if counter.full():
                     yield from counter.runs(TRIE_ENTRIES // 2)
         yield from counter.runs(0)
@@ -271,13 +326,10 @@ def count_phrases(docs: DataFrame, sizes: tuple[int, ...], known: int, bloom, pa
             by_kind.setdefault((lang, size), []).append((ids, counts))
         for (lang, size), runs in by_kind.items():
             keys = np.concatenate([np.frombuffer(i, U64).reshape(-1, size) for i, _ in runs])
-            counts = np.concatenate([np.frombuffer(c, np.int64) for _, c in runs])
-            order = np.lexsort(keys.T[::-1])
-            keys = keys[order]
-            heads = group_starts_of_rows(keys)
-            total = np.add.reduceat(counts[order], heads)
+            counts = np.concatenate([np.frombuffer(c, np.int32) for _, c in runs]).astype(np.int64)
+            keys, total = counted(keys, counts)
             often = total >= least
-            found = keys[heads[often]].view(np.int64)
+            found = keys[often].view(np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, found.size + 1, size, dtype=np.int32)), pa.array(found.ravel()))
             out.append(pa.table({"lang": pa.array([lang] * len(found), pa.string()), "ids": lists, "n": pa.array(total[often])}))
         release()

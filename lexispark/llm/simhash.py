@@ -234,15 +234,9 @@ def similar_links(classes: DataFrame, budget: int = 2, bucket_rows: int = BUCKET
     return dealt.groupBy("bucket").applyInArrow(join, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, budget: int = 2, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """Rows ``(id, fingerprint, component_id)``: the class of every document under links of at most ``budget`` differing bits.
-
-    ``fingerprint`` has 16 hex digits; ``component_id`` is the smallest id reachable, the own included. Texts without a
-    word (empty, null) have fingerprint zero and link like any other. Repeated rows give one row each; a row without
-    id gets a fingerprint and no component and links nothing. Other columns are ignored. An empty table gives no rows.
-    """
-    plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("__doc_text"))
-    prints = stage(fingerprints(plain, "id", "__doc_text", size), "fingerprints")
+def _grouped(docs: DataFrame, keep: list[str], text_col: str, size: int, budget: int, bucket_rows: int) -> DataFrame:
+    """``keep`` (with ``id`` long), ``fingerprint`` long and ``component_id`` of each row."""
+    prints = stage(fingerprints(docs, text_col=text_col, size=size, keep=keep), "fingerprints")
     classes = stage(prints.filter("id is not null").groupBy("fingerprint").agg(F.min("id").alias("node")), "classes")
     links = similar_links(classes, budget, bucket_rows)
     roots = components(links)
@@ -251,8 +245,33 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     salts = 16
     one = named.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     many = prints.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int"))
-    return many.join(one, ["fingerprint", "salt"], "left").select(
+    return many.join(one, ["fingerprint", "salt"], "left").drop("salt")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, budget: int = 2, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """Rows ``(id, fingerprint, component_id)``: the class of every document under links of at most ``budget`` differing bits.
+
+    ``fingerprint`` has 16 hex digits; ``component_id`` is the smallest id reachable, the own included. Texts without a
+    word (empty, null) have fingerprint zero and link like any other. Repeated rows give one row each; a row without
+    id gets a fingerprint and no component and links nothing. Other columns are ignored. An empty table gives no rows.
+    """
+    plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("__doc_text"))
+    return _grouped(plain, ["id"], "__doc_text", size, budget, bucket_rows).select(
         F.col("id").alias(id_col),
         F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"),
         F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"),
     )
+
+
+def first_of_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, budget: int = 2, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """The rows of ``docs`` with the smallest id of their class of near duplicates, one for each class, and all rows without id.
+
+    Classes are those of ``near_duplicates``. Rows that share an id are judged by their own texts; of several rows with the smallest id
+    and one fingerprint the one with the smallest hash stays, of equal rows one.
+    """
+    keyed = docs.filter(F.col(id_col).isNotNull()).withColumn("__row", F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
+    plain = keyed.select(F.col(id_col).cast("long").alias("id"), "__row", F.col(text_col).alias("__doc_text"))
+    first = _grouped(plain, ["id", "__row"], "__doc_text", size, budget, bucket_rows).filter("id = component_id")
+    heads = first.groupBy("id", "fingerprint").agg(F.min("__row").alias("__row")).select(F.col("id").alias("__id"), F.col("__row").alias("__head")).distinct()
+    kept = keyed.join(heads, (F.col("__row") == F.col("__head")) & (F.col(id_col).cast("long") == F.col("__id")), "left_semi")
+    return kept.dropDuplicates([id_col, "__row"]).select(docs.columns).unionByName(docs.filter(F.col(id_col).isNull()))

@@ -82,23 +82,25 @@ def test_awkward_and_empty_tables(spark):
 
 
 def test_trie_bursts_and_spills_whole_counts(monkeypatch):
-    monkeypatch.setattr(co, "BURST", 3)
+    monkeypatch.setattr(co, "BURST", 6)
     rng = np.random.default_rng(2)
-    counter, want, got = co.Counter(parts=5), Count(), Count()
-    seen = defaultdict(set)
-    for step in range(30):
-        block = rng.zipf(1.5, (200, 3)).clip(0, 30).astype(np.uint64)
-        want.update(map(tuple, block.tolist()))
-        counter.add("en", block)
-        for batch in counter.runs(100 if step < 29 else 0):
-            for r in batch.to_pylist():
-                keys = np.frombuffer(r["ids"], np.uint64).reshape(-1, r["size"])
-                assert [tuple(k) for k in keys.tolist()] == sorted(map(tuple, keys.tolist()))
-                for k, n in zip(keys.tolist(), np.frombuffer(r["counts"], np.int64).tolist()):
-                    got[tuple(k)] += n
-                    seen[tuple(k)].add(r["part"])
-        assert sum(t.entries for t in counter.tries.values()) <= 100
-    assert got == want and all(len(p) == 1 for p in seen.values())
+    for size in (2, 3, 4, 5):
+        counter, want, got = co.Counter(parts=5), Count(), Count()
+        seen, most = defaultdict(set), 0
+        for step in range(30):
+            block = rng.zipf(1.5, (200, size)).clip(0, 30).astype(np.uint64)
+            want.update(map(tuple, block.tolist()))
+            counter.add("en", [counter.local(c) for c in block.T])
+            most = max(most, len(counter.tries["en", size].nodes))
+            for batch in counter.runs(100 if step < 29 else 0):
+                for r in batch.to_pylist():
+                    keys = np.frombuffer(r["ids"], np.uint64).reshape(-1, r["size"])
+                    assert [tuple(k) for k in keys.tolist()] == sorted(map(tuple, keys.tolist()))
+                    for k, n in zip(keys.tolist(), np.frombuffer(r["counts"], np.int32).tolist()):
+                        got[tuple(k)] += n
+                        seen[tuple(k)].add(r["part"])
+            assert sum(t.entries for t in counter.tries.values()) <= 100
+        assert got == want and all(len(p) == 1 for p in seen.values()) and most > 20
 
 
 def test_filter_holds_all_it_was_given(spark):
