@@ -5,7 +5,7 @@ they are); ``n_chars`` follows the text. A stage works on all rows its predecess
 
 1. toxicity: documents predicted toxic go (class models learned from ``labels`` of the same folder, see ``llm.toxicity``).
 2. line_dedup: lines on more than a fifth of the documents of a source, and on three at least, go from the texts.
-3. simhash_dedup: of each group of near copies (5-word shingles, Jaccard similarity 0.8 or more) the document with the smallest id stays, once.
+3. simhash_dedup: of each group of documents within 2 bits of each other's 3-word SimHash the document with the smallest id stays, once.
 4. suffix_dedup: bytes of 50-byte strings that also start in a document with a smaller id go; what is left stays a document.
 5. packing: token pieces of all documents in sequences of at most 2048 tokens.
 
@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexispark.llm import lines, nearcopies, packing, suffixes, toxicity
+from lexispark.llm import lines, packing, simhash, suffixes, toxicity
 from lexispark.llm.catalog import table, tokenizer
 from lexispark.session import stage
 
@@ -33,11 +33,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _with_size(lines.drop_boilerplate(docs, "doc_id", "text", "source", ratio=0.2, min_pages=1, line_pages=3).select(docs.columns))
+    return _with_size(lines.drop_boilerplate(docs, "doc_id", "text", "source", ratio=0.2, line_pages=3).select(docs.columns))
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return nearcopies.first_of_near_copies(docs, size=5, least=0.8)
+    return simhash.first_of_near_duplicates(docs, size=3, budget=2)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
