@@ -144,8 +144,7 @@ class Evidence:
             start = np.maximum(stop - w, np.repeat(heads, counts))
             means = (total[stop] - total[start]) / w
             out[first:last, 1][full] = np.maximum.reduceat(means, heads[full])
-        # a few extreme texts shall not set the curve
-        return np.clip(out, [-0.3, -0.6], [0.6, 1.2])
+        return out
 
     def scores(self, column: pa.Array) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(_design(self.features(column)) @ self.curve, -40, 40)))
@@ -155,14 +154,19 @@ def _design(x: np.ndarray) -> np.ndarray:
     return np.column_stack([np.ones(len(x)), x])
 
 
-def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.3, steps: int = 60) -> np.ndarray:
-    """Weighted logistic regression by Newton steps; columns are scaled inside."""
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 3.0, steps: int = 60) -> np.ndarray:
+    """Weighted logistic regression by Newton steps; columns are scaled inside.
+
+    ``ridge`` draws the slopes to zero, which matters for a few labelled rows only; the first column, the constant, is left free, so that
+    the scores agree with the share of toxic rows on average.
+    """
     scale = np.maximum(np.abs(x).mean(0), 1e-9)
     z, beta = x / scale, np.zeros(x.shape[1])
+    pull = np.append(1e-6, np.full(x.shape[1] - 1, ridge))
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(z @ beta, -40, 40)))
-        grad = z.T @ (weight * (y - p)) - ridge * beta
-        hess = (z * (weight * p * (1 - p))[:, None]).T @ z + ridge * np.eye(len(beta))
+        grad = z.T @ (weight * (y - p)) - pull * beta
+        hess = (z * (weight * p * (1 - p))[:, None]).T @ z + np.diag(pull)
         move = np.linalg.solve(hess, grad)
         move *= min(1.0, 4.0 / max(1e-9, np.abs(move).max()))
         beta += move
@@ -279,7 +283,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     y = rest["toxic"].astype(float)
     if 0 < y.sum() < len(y):
         weight = np.where(y == 1, prior / y.mean(), (1 - prior) / (1 - y.mean()))
-        design = _design(np.column_stack([rest["mean"], rest["top"]]))
+        # a few extreme texts shall not set the curve
+        design = _design(np.clip(np.column_stack([rest["mean"], rest["top"]]), [-0.3, -0.6], [0.6, 1.2]))
         # more evidence never lowers a score: a part with a negative weight is left out
         fits = [(use, logistic(design[:, use], y, weight)) for use in ([0, 1, 2], [0, 1], [0, 2], [0])]
         fits = [(use, beta) for use, beta in fits if (beta[1:] >= 0).all()]
