@@ -176,6 +176,8 @@ def _ask_stretches(docs: DataFrame, found: DataFrame, size: int, anchor_buckets:
     names = [x.split()[0] for x in STRETCHES.split(", ")]
     kinds = [pa.int32(), *[pa.binary()] * 8]
     nothing = pa.table([pa.array([], t) for t in kinds], names=names)
+    # a run has at most size - GRAM + 1 windows, so a stretch has less than twice the size
+    width = np.uint8 if 2 * size < 256 else np.int32
 
     def request(key: tuple, own_docs: pa.Table, replies: pa.Table) -> pa.Table:
         # a row without id has no answers, as it never asked
@@ -201,13 +203,16 @@ def _ask_stretches(docs: DataFrame, found: DataFrame, size: int, anchor_buckets:
                 n = np.diff(np.concatenate([heads, [len(own)]])).astype(np.int32)
                 go = own[sent[own]]
                 out.append((
-                    int(b), ids[docs_of].tobytes(), rows[docs_of].tobytes(), n.tobytes(), windows[own].astype(np.uint8).tobytes(),
-                    np.packbits(sent[own]).tobytes(), np.packbits(local[own]).tobytes(), lengths[go].astype(np.uint8).tobytes(),
+                    int(b), ids[docs_of].tobytes(), rows[docs_of].tobytes(), n.tobytes(), windows[own].astype(width).tobytes(),
+                    np.packbits(sent[own]).tobytes(), np.packbits(local[own]).tobytes(), lengths[go].astype(width).tobytes(),
                     _bytes_at(data, begin[go], lengths[go]).tobytes(),
                 ))
             return pa.table([pa.array(list(c), t) for c, t in zip(zip(*out), kinds)], names=names)
 
-        lists = [known.get(a, []) for a in addresses(own_docs)]
+        # texts without a shared anchor have no stretches
+        asked = [a in known for a in addresses(own_docs)]
+        own_docs = own_docs.filter(pa.array(asked, pa.bool_()))
+        lists = [known[a] for a in addresses(own_docs)]
         ids = own_docs.column(ID).fill_null(0).to_numpy()
         rows = own_docs.column(ROW).to_numpy()
         for first, last, raw, _, runs in _runs(_text_column(own_docs), size):
@@ -231,8 +236,8 @@ def _ask_stretches(docs: DataFrame, found: DataFrame, size: int, anchor_buckets:
             n = int(counts.sum())
             sent = np.unpackbits(np.frombuffer(x["sent"], np.uint8), count=n).astype(bool)
             local = np.unpackbits(np.frombuffer(x["local"], np.uint8), count=n).astype(bool)
-            windows = np.frombuffer(x["windows"], np.uint8).astype(np.int64)
-            asked.append((ids, rows, counts, windows, sent, local, np.frombuffer(x["lengths"], np.uint8).astype(np.int64), np.frombuffer(x["bytes"], np.uint8), np.repeat(ids, counts)[sent]))
+            windows = np.frombuffer(x["windows"], width).astype(np.int64)
+            asked.append((ids, rows, counts, windows, sent, local, np.frombuffer(x["lengths"], width).astype(np.int64), np.frombuffer(x["bytes"], np.uint8), np.repeat(ids, counts)[sent]))
         lengths, data, owner = (np.concatenate([p[i] for p in asked]) for i in (6, 7, 8))
         # equal stretches are sorted once, for their smallest document
         same = _stretch_hashes(data, lengths, 11)
@@ -320,32 +325,37 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     both = kind(found, 0).unionByName(kind(answers, 1))
 
     def cut(key: tuple, own_docs: pa.Table, replies: pa.Table) -> pa.Table:
-        n_bytes, n_removed, n_spans, digests, texts = [], [], [], [], []
         which = replies.column("kind").to_numpy()
         by_anchor, by_window = (replies_of(replies.filter(pa.array(which == k))) for k in (0, 1))
         own = addresses(own_docs)
-        shared_lists, window_lists = [by_anchor.get(a, []) for a in own], [by_window.get(a, []) for a in own]
-        for first, last, raw, at, runs in _runs(_text_column(own_docs), size):
+        column = _text_column(own_docs)
+        raw, at = text_buffers(column)
+        n_removed, n_spans, digests, texts = [0] * len(own), [0] * len(own), [""] * len(own), [""] * len(own)
+
+        def keep(row: int, text: np.ndarray) -> None:
+            kept = text.tobytes()
+            digests[row] = hashlib.sha256(kept).hexdigest()
+            if not digest_only:
+                texts[row] = kept.decode("utf-8", "ignore")
+
+        for row, a in enumerate(own):
+            if a not in by_window:  # no window of it is marked
+                keep(row, raw[at[row] : at[row + 1]])
+        marked = [row for row, a in enumerate(own) if a in by_window]
+        shared_lists, window_lists = [by_anchor.get(own[r], []) for r in marked], [by_window[own[r]] for r in marked]
+        for first, last, part, edges, runs in _runs(column.take(pa.array(marked, pa.int64())), size):
             shared = flags_of(shared_lists[first:last], runs.counts, bucket_of(runs.keys, anchor_buckets))
             flags = _window_flags(runs, shared, window_lists[first:last], buckets)
             # windows are in text order: one for each byte but the last size - 1 of a text
-            windows = np.maximum(np.diff(at) - size + 1, 0)
+            windows = np.maximum(np.diff(edges) - size + 1, 0)
             w = 0
-            for lo, hi, n in zip(at[:-1].tolist(), at[1:].tolist(), windows.tolist()):
-                marks = flags[w : w + n]
+            for row, lo, hi, n in zip(marked[first:last], edges[:-1].tolist(), edges[1:].tolist(), windows.tolist()):
+                gone = covered(flags[w : w + n], size, hi - lo) if n > 0 else np.zeros(hi - lo, bool)
                 w += n
-                text, gone_bytes, spans = raw[lo:hi], 0, 0
-                if marks.any():
-                    gone = covered(marks, size, hi - lo)
-                    text, gone_bytes = text[~gone], int(gone.sum())
-                    spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
-                kept = text.tobytes()
-                n_bytes.append(hi - lo)
-                n_removed.append(gone_bytes)
-                n_spans.append(spans)
-                digests.append(hashlib.sha256(kept).hexdigest())
-                if not digest_only:
-                    texts.append(kept.decode("utf-8", "ignore"))
+                n_removed[row] = int(gone.sum())
+                n_spans[row] = int(gone[:1].sum()) + int((gone[1:] & ~gone[:-1]).sum())
+                keep(row, part[lo:hi][~gone])
+        n_bytes = np.diff(at).tolist()
         del by_anchor, by_window, shared_lists, window_lists
         release()
         out = own_docs.select(names)

@@ -289,3 +289,11 @@ def test_fingerprints_use_all_bits():
     column = pa.array(["a b c d e f g", None, "", "One TWO  three\tfour"])
     got = simhash._fingerprints_of(column, 3)
     assert [int(x) & (2**64 - 1) for x in got] == [brute.fingerprint(t.as_py()) for t in column]
+
+
+@pytest.mark.parametrize("size", [127, 128, 200, 300])
+def test_suffix_sizes_beyond_a_byte(spark, size):
+    passage = "".join(chr(97 + (k * k) % 23) for k in range(700))
+    rows = [(i, f"text {i} " * 5 + passage[i % 3 * 40 :] + f" end {i}") for i in range(12)] + [(20, passage[:size]), (21, passage[: size - 1]), (None, passage), (22, None)]
+    got = suffixes.remove_repeats(brute.documents(spark, rows), size=size, digest_only=True)
+    assert brute.sorted_rows(got.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()) == brute.sorted_rows(brute.suffix_rows(rows, size))
