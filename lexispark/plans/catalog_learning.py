@@ -72,7 +72,7 @@ def _(spark, sf):
     # the squared singular values sum up to the squared counts
     train, _test, words = _count_vectors(spark, sf)
     model = latent.lsa_fit(train, words)
-    return small_table(spark, {"n_terms": [len(words)], "energy": [round(float((model.singular_values**2).sum()), 3)]})
+    return small_table(spark, {"n_terms": [len(words)], "energy": [round(model.energy, 3)]})
 
 
 # --- topics ---
