@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.ml.clustering import LocalLDAModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
-from lexispark.operators import cleaning, embeddings, latent, models, sampling, terms, topics
+from lexispark.operators import cleaning, embeddings, gibbs, latent, models, sampling, terms
 from lexispark.plans import fixture as fx
 from lexispark.plans import protocols
 from lexispark.plans.catalog_features import word_table
@@ -77,39 +76,40 @@ def _(spark, sf):
 
 # --- topics ---
 def _topic_model(spark, sf):
+    """500 sweeps of burn-in and 500 more, 50 between two exchanges of the counts."""
     train, test, words = _count_vectors(spark, sf)
-    return topics.lda_fit(train), train, test, words
+    return gibbs.gibbs_fit(train, len(words), k=20, seed=123, burn_in=500, iterations=500, local_sweeps=50), train, test, words
 
 
 @query("lda_fit")
 def _(spark, sf):
     model, _train, _test, words = _topic_model(spark, sf)
-    return topics.topic_top_terms(model, words, 20)
+    return gibbs.top_terms(spark, model, words, 20)
 
 
 @query("topic_top_terms")
 def _(spark, sf):
     model, _train, _test, words = _topic_model(spark, sf)
-    return topics.topic_top_terms(model, words, 10)
+    return gibbs.top_terms(spark, model, words, 10)
 
 
 @query("lda_features")
 def _(spark, sf):
     model, train, _test, _words = _topic_model(spark, sf)
-    return _long(topics.lda_features(model, train), "topics")
+    return _long(model.transform(train), "topics")
 
 
 @query("lda_foldin")
 def _(spark, sf):
     model, train, test, _words = _topic_model(spark, sf)
-    return topics.lda_foldin(model, train, test).select("review_id", "type", F.posexplode_outer("topics").alias("dim", "value"))
+    return gibbs.foldin(model, train, test).select("review_id", "type", F.posexplode_outer("topics").alias("dim", "value"))
 
 
 @query("save_fitted_model")
 def _(spark, sf):
     model, train, _test, _words = _topic_model(spark, sf)
-    path = models.save_fitted_model(model, new_folder(spark, "topic-model"))
-    return _long(topics.lda_features(LocalLDAModel.load(path), train), "topics")
+    path = model.save(spark, new_folder(spark, "topic-model"))
+    return _long(gibbs.GibbsModel.load(spark, path).transform(train), "topics")
 
 
 # --- word vectors ---
@@ -196,7 +196,7 @@ _DOC_COUNTS = with_sql(
 def _(spark, sf):
     """Documents with a term of the vocabulary, and those whose 20 topic shares add up to 1."""
     model, train, test, _words = _topic_model(spark, sf)
-    rows = topics.lda_foldin(model, train, test)
+    rows = gibbs.foldin(model, train, test)
     total = F.aggregate("topics", F.lit(0.0), lambda a, x: a + x)
     good = (F.size("topics") == 20) & (F.abs(total - 1) < 1e-6) & F.forall("topics", lambda x: x >= 0)
     return rows.groupBy("type").agg(F.countDistinct("review_id").alias("n_docs"), F.count_if(good).alias("n_distributions"))
@@ -220,9 +220,7 @@ def _(spark, sf):
 
 @query("lsa_reconstructed")
 def _(spark, sf):
-    """Rows of rank k for train and folded-in test documents, entries over 0.001 only."""
+    """Whole rows of rank k for train and folded-in test documents, one entry for each term in the order of the vocabulary."""
     train, test, words = _count_vectors(spark, sf)
     model = latent.lsa_fit(train, words)
-    rows = model.transform(train, "reconstructed").unionByName(model.transform(test, "reconstructed"))
-    long = rows.select("review_id", "type", F.posexplode("lsa").alias("idx", "value"))
-    return long.where(F.abs("value") > 0.001)
+    return model.transform(train, "reconstructed").unionByName(model.transform(test, "reconstructed"))
