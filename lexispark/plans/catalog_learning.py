@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
-from lexispark.operators import cleaning, embeddings, gibbs, latent, models, sampling, terms
+from lexispark.operators import cleaning, embeddings, gibbs, latent, models, sampling, skipgram, terms
 from lexispark.plans import fixture as fx
 from lexispark.plans import protocols
 from lexispark.plans.catalog_features import word_table
@@ -115,7 +115,7 @@ def _(spark, sf):
 # --- word vectors ---
 @query("word2vec_fit")
 def _(spark, sf):
-    vectors = embeddings.word2vec_fit(fx.docs(spark, sf))
+    vectors = skipgram.skipgram_fit(fx.docs(spark, sf))
     return vectors.select("word", F.posexplode_outer("vector").alias("dim", "value"))
 
 
@@ -204,10 +204,10 @@ def _(spark, sf):
 
 @query(
     "word2vec_words",
-    with_sql("SELECT word, CAST(8 AS INTEGER) AS dim FROM kept GROUP BY word HAVING count(*) >= 40", "kept"),
+    with_sql("SELECT word, CAST(300 AS INTEGER) AS dim FROM kept GROUP BY word HAVING count(*) >= 40", "kept"),
 )
 def _(spark, sf):
-    vectors = embeddings.word2vec_fit(fx.docs(spark, sf), dim=8, sample=None, iterations=1)
+    vectors = skipgram.skipgram_fit(fx.docs(spark, sf))
     return vectors.select("word", F.size("vector").alias("dim"))
 
 

@@ -98,7 +98,14 @@ import __spark_entry__ as entry
 spark = build_session(master="local[2]", **{{"spark.ui.enabled": "false", "spark.sql.shuffle.partitions": "2"}})
 for name in ("clean_reviews", "stem_words", "cast_sparse", "lsa_foldin"):
     assert entry.queries()[name](spark, {sf!r}).count() > 0, name
+from lexispark.operators import gibbs, latent, skipgram
+from lexispark.plans import fixture as fx
+from lexispark.plans.catalog_learning import _count_vectors
+train, test, words = _count_vectors(spark, {sf!r}, sparse=0.9)
+assert gibbs.gibbs_fit(train, len(words), k=3, burn_in=1, iterations=1).transform(test).count() > 0
+assert latent.lanczos_fit(train, words).transform(test).count() > 0
+assert skipgram.skipgram_fit(fx.docs(spark, {sf!r}), dim=4, epochs=1, shards=2).count() > 0
 """
     path = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
-    done = subprocess.run([sys.executable, "-c", script], cwd=tmp_path, env=path, capture_output=True, text=True, timeout=300)
+    done = subprocess.run([sys.executable, "-c", script], cwd=tmp_path, env=path, capture_output=True, text=True, timeout=600)
     assert done.returncode == 0, done.stderr[-2000:]
