@@ -5,9 +5,11 @@ A query walks the cells in the order of the summed distances of its halves to th
 heap over centroid pairs, until the cells it has met hold the wanted share of all rows. The entries of these cells are
 reranked by their exact distance.
 
-The codebooks are fitted on a bounded sample (``sample_rows`` rows, smallest hashes first); every row is indexed. What all
-tasks get is bounded by the codebooks: 2 k centroids and at most k * k cell sizes. Cells are cut into chunks of
-bounded size by a hash, so a vector that stands in a third of all rows is spread, and nothing in a cell is left out.
+The codebooks are fitted on a bounded sample (``sample_rows`` rows, smallest hashes first); every row is indexed, each length of
+vectors by an index of its own. How much of the table a query meets follows from the data: it is the share within which the sample's
+own nearest neighbours are found with the wanted recall. What all tasks get is bounded by the codebooks: 2 k centroids and
+at most k * k cell sizes for a length. Neighbouring small cells make a group, large ones are cut into groups of bounded size by
+a hash, so a vector that stands in a third of all rows is spread, and nothing in a cell is left out.
 """
 
 from __future__ import annotations
@@ -25,8 +27,8 @@ from lexispark.llm.shipping import ship
 from lexispark.llm.vectors import valid_vectors
 from lexispark.session import stage
 
-CHUNK_ROWS = 8192
-BLOCK_ROWS = 1024
+GROUP_ROWS = 16384
+BLOCK_ROWS = 8192
 
 
 def squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -75,108 +77,180 @@ def walk(d1: np.ndarray, d2: np.ndarray, sizes: np.ndarray, wanted: int) -> list
     return cells
 
 
+class Index:
+    """The codebooks of the vectors of one length and, once they are counted, the sizes of its cells."""
+
+    def __init__(self, sample: np.ndarray, codes: int):
+        self.half = sample.shape[1] // 2
+        self.books = [kmeans(sample[:, : self.half], codes) if self.half else np.zeros((1, 0)), kmeans(sample[:, self.half :], codes)]
+        self.width = len(self.books[1])
+        self.held = np.zeros(len(self.books[0]) * self.width, np.int64)
+        self.wanted = 0
+
+    def distances(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return squared(x[:, : self.half], self.books[0]), squared(x[:, self.half :], self.books[1])
+
+    def cells(self, x: np.ndarray) -> np.ndarray:
+        d1, d2 = self.distances(x)
+        return (d1.argmin(1) * self.width + d2.argmin(1)).astype(np.int32)
+
+    def share_for(self, sample: np.ndarray, k: int, recall: float, probes: int = 200) -> float:
+        """The share of the rows a query has to meet for ``recall`` of the sample's own ``k`` nearest neighbours.
+
+        The sample is sparser than the table, so neighbours in the table are nearer and their cells are met earlier.
+        """
+        cells = self.cells(sample)
+        sizes = np.bincount(cells, minlength=len(self.held))
+        d1, d2 = self.distances(sample[:probes])
+        needed = []
+        for i, d in enumerate(squared(sample, sample[:probes]).T):
+            d[i] = np.inf
+            order = walk(d1[i], d2[i], sizes, len(sample))
+            met = np.zeros(len(sizes))
+            met[order] = np.cumsum(sizes[order])
+            needed += met[cells[np.argsort(d, kind="stable")[: min(k, len(sample) - 1)]]].tolist()
+        return float(np.quantile(needed, recall, method="higher")) / len(sample) if needed else 1.0
+
+    def fill(self, sizes: dict[int, int], share: float, least: int) -> None:
+        for cell, n in sizes.items():
+            self.held[cell] = n
+        total = int(self.held.sum())
+        self.wanted = min(total, max(least, int(np.ceil(share * total))))
+        # a cell starts a group where the cells before it fill one; a larger cell takes several groups of its own
+        self.parts = np.maximum(1, -(-self.held // GROUP_ROWS))
+        self.group, group, room = np.zeros(len(self.held), np.int64), -1, 0
+        for cell, (n, parts) in enumerate(zip(self.held.tolist(), self.parts.tolist())):
+            if parts > 1 or n > room:
+                group, room = group + 1, GROUP_ROWS
+            self.group[cell] = group
+            group, room = group + parts - 1, 0 if parts > 1 else room - n
+
+    def probe(self, x: np.ndarray) -> tuple[list[int], list[int], list[list[int]]]:
+        """Places in ``x``, groups, and the cells wanted there: a query once for each group it meets."""
+        at, groups, cells = [], [], []
+        d1, d2 = self.distances(x)
+        for i in range(len(x)):
+            spots: dict[int, list[int]] = {}
+            for cell in walk(d1[i], d2[i], self.held, self.wanted):
+                for part in range(int(self.parts[cell])):
+                    spots.setdefault(int(self.group[cell]) + part, []).append(cell)
+            at += [i] * len(spots)
+            groups += spots
+            cells += spots.values()
+        return at, groups, cells
+
+
+def _by_length(batch: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch, np.ndarray]]:
+    """The rows of each length in a batch, with their vectors as a matrix."""
+    dims = batch.column("dim").to_numpy()
+    for dim in np.unique(dims).tolist():
+        own = batch.take(pa.array(np.flatnonzero(dims == dim)))
+        yield dim, own, _numbers(pa.chunked_array([own.column("vector")]))
+
+
+def _nearest_of(x: np.ndarray, ids: np.ndarray, rows: np.ndarray, q: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and distances of the ``k`` rows nearest to ``q``, without the row ``own``; ties to the smaller id."""
+    d = np.sqrt(((x - q) ** 2).sum(1))
+    others = np.flatnonzero(rows != own)
+    d = d[others]
+    near = np.flatnonzero(d <= np.partition(d, k - 1)[k - 1]) if len(d) > k else np.arange(len(d))
+    near = near[np.lexsort((ids[others[near]], d[near]))][:k]
+    return others[near], d[near]
+
+
 def nearest(
     vectors: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec_id", vector_col: str = "embedding",
-    codes: int = 32, share: float = 0.6, least: int = 2000, sample_rows: int = 20_000,
+    codes: int = 32, share: float | None = None, recall: float = 0.97, least: int = 2000, sample_rows: int = 20_000,
 ) -> DataFrame:
     """(query_id, rank, id, score): for each row whose id is divisible by ``every`` its ``k`` nearest other rows found, by Euclidean distance.
 
-    A query meets cells until they hold ``share`` of all rows and ``least`` rows at least: the recall is set by that share (measured
-    against brute force in the tests). Scores are exact, ties go to the smaller id. Rows without id and vectors that are
-    null, empty, zero or hold a null or non-finite component take no part; of rows with one id the smallest vector counts;
-    only vectors of the most frequent length take part (the shorter of equally frequent ones). A single component
-    is one half, the other half is empty. Fewer than ``k`` others give fewer rows, an empty table none.
+    A query meets cells until they hold ``share`` of all rows of its length and ``least`` rows at least. Without a ``share`` the
+    one that finds ``recall`` of the sample's own neighbours is taken. Scores are exact, ties go to the smaller id. Rows without id
+    and vectors that are null, empty, zero or hold a null or non-finite component take no part. Every other row is a candidate,
+    also one that repeats an id or a whole row: a query leaves out its own row only, and several rows of one query id are queries
+    each, whose results all stand under that id. Vectors meet those of their own length only; a length the sample lacks is one cell,
+    searched whole. A single component is one half, the other half is empty. Fewer than ``k`` others give fewer rows, an
+    empty table none.
     """
     spark = vectors.sparkSession
     ship(spark)
     valid = valid_vectors(vectors, id_col, vector_col).filter(F.exists("vector", lambda x: x != 0))
-    rows = stage(valid, "mi-vectors")
-    sizes = rows.groupBy("dim").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").first()
-    if sizes is None:
-        return spark.createDataFrame([], f"query_id long, rank int, `{id_col}` long, score double")
-    dim, total = sizes.dim, sizes.n
-    rows = rows.filter(F.col("dim") == dim).select("id", "vector")
+    rows = stage(valid.select("row", "id", "dim", "vector"), "mi-vectors")
     # bounded sample for the codebooks
-    sample = _numbers(rows.orderBy(F.xxhash64("id"), "id").select("vector").limit(sample_rows).toArrow().column("vector"))
-    half = dim // 2
-    books = [kmeans(sample[:, :half], codes) if half else np.zeros((1, 0)), kmeans(sample[:, half:], codes)]
-    width = len(books[1])
+    sample = rows.orderBy(F.xxhash64("row"), "row").select("dim", "vector").limit(sample_rows).toArrow()
+    if not sample.num_rows:
+        return spark.createDataFrame([], f"query_id long, rank int, `{id_col}` long, score double")
+    indexes, shares = {}, {}
+    dims = sample.column("dim").to_numpy()
+    for dim in np.unique(dims).tolist():
+        x = _numbers(sample.filter(pa.array(dims == dim)).column("vector"))
+        indexes[dim] = Index(x, codes)
+        shares[dim] = share if share is not None else indexes[dim].share_for(x, k, recall)
+    fields = "row long, id long, dim int, vector array<double>"
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for dim, own, x in _by_length(batch):
+                cells = indexes[dim].cells(x) if dim in indexes else np.zeros(len(x), np.int32)
+                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(cells)], names=[*own.schema.names, "cell"])
+
+    entries = stage(rows.mapInArrow(assign, f"{fields}, cell int"), "mi-entries")
+    counted: dict[int, dict[int, int]] = {}
+    for r in entries.groupBy("dim", "cell").agg(F.count("*").alias("n")).collect():  # at most codes * codes rows for a length
+        counted.setdefault(r.dim, {})[r.cell] = r.n
+    for dim, sizes in counted.items():
+        if dim not in indexes:
+            indexes[dim] = Index(np.zeros((1, dim)), 1)
+        indexes[dim].fill(sizes, shares.get(dim, 1.0), least)
 
-    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The group of each entry; in large cells a hash of the row picks the part."""
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = _numbers(pa.chunked_array([batch.column(1)]))
-            cell = squared(x[:, :half], books[0]).argmin(1) * width + squared(x[:, half:], books[1]).argmin(1)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int32))], names=["id", "vector", "cell"])
-
-    entries = stage(rows.mapInArrow(index, "id long, vector array<double>, cell int"), "mi-entries")
-    # at most codes * codes rows
-    by_cell = entries.groupBy("cell").agg(F.count("*").alias("n")).collect()
-    held = np.zeros(len(books[0]) * width, np.int64)
-    for r in by_cell:
-        held[r.cell] = r.n
-    wanted = min(total, max(least, int(np.ceil(share * total))))
-    chunks = np.maximum(1, -(-held // CHUNK_ROWS))
+            dims, cells, at = (batch.column(name).to_numpy() for name in ("dim", "cell", "salt"))
+            group = np.zeros(batch.num_rows, np.int64)
+            for dim in np.unique(dims).tolist():
+                own = np.flatnonzero(dims == dim)
+                group[own] = indexes[dim].group[cells[own]] + at[own] % indexes[dim].parts[cells[own]]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(group)], names=[*batch.schema.names[:-1], "grp"])
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = _numbers(pa.chunked_array([batch.column(1)]))
-            d1, d2 = squared(x[:, :half], books[0]), squared(x[:, half:], books[1])
-            at, cells, parts = [], [], []
-            for i in range(len(x)):
-                for cell in walk(d1[i], d2[i], held, wanted):
-                    for part in range(int(chunks[cell])):
-                        at.append(i)
-                        cells.append(cell)
-                        parts.append(part)
-            whole = batch.take(pa.array(at, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*whole.columns, pa.array(cells, pa.int32()), pa.array(parts, pa.int32())], names=["id", "vector", "block", "cell", "part"])
-
-    # cells of about one chunk together make a group, so that small cells don't become small tasks
+            for dim, own, x in _by_length(batch):
+                for start in range(0, len(x), 256):  # bounds what leaves at once
+                    at, groups, cells = indexes[dim].probe(x[start : start + 256])
+                    whole = own.take(pa.array([start + i for i in at], pa.int64()))
+                    columns = [*whole.columns, pa.array(groups, pa.int64()), pa.array(cells, pa.list_(pa.int32()))]
+                    yield pa.RecordBatch.from_arrays(columns, names=[*whole.schema.names, "grp", "cells"])
+
     n_queries = entries.filter(F.col("id") % every == 0).count()
     blocks = max(1, -(-n_queries // BLOCK_ROWS))
-    block = F.pmod(F.xxhash64("id", F.lit("block")), F.lit(blocks)).cast("int").alias("block")
-    asked = entries.filter(F.col("id") % every == 0).select("id", "vector", block)
-    asked = asked.mapInArrow(probe, "id long, vector array<double>, block int, cell int, part int")
-    part_of = F.element_at(F.array(*[F.lit(int(c)) for c in chunks]), F.col("cell") + 1) if chunks.max() > 1 else F.lit(1)
-    placed = entries.select("id", "vector", "cell", F.pmod(F.xxhash64("id"), part_of).cast("int").alias("part"))
-    groups = max(1, -(-total // CHUNK_ROWS))
-    group = F.pmod(F.xxhash64("cell", "part"), F.lit(groups)).cast("int").alias("group")
-    placed = placed.select("*", group, F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    # a query's vector goes to a group once, with the cells it asks for there
-    asked = asked.select("*", group).groupBy("group", "block", "id").agg(F.first("vector").alias("vector"), F.collect_list(F.struct("cell", "part")).alias("spots"))
-
-    def rerank(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+    block = F.pmod(F.xxhash64("row", F.lit("block")), F.lit(blocks)).cast("int").alias("block")
+    asked = rows.filter(F.col("id") % every == 0).select("row", "id", "dim", "vector", block)
+    asked = stage(asked.mapInArrow(probe, f"{fields}, block int, grp long, cells array<int>"), "mi-asked")
+    placed = entries.withColumn("salt", F.xxhash64("row").bitwiseAND(0x7FFFFFFF)).mapInArrow(spread, f"{fields}, cell int, grp long")
+    unit = ["dim", "grp", "block"]
+    # a group is copied for the blocks that ask for it only
+    placed = placed.join(asked.select(*unit).distinct().toDF(*unit), ["dim", "grp"])
+
+    def rerank(left: pa.Table, right: pa.Table) -> pa.Table:
         """``left``: entries of one group of cells; ``right``: queries of one block with their cells here."""
         out: list[tuple] = []
         if left.num_rows and right.num_rows:
-            x, ids = _numbers(left.column("vector")), left.column("id").to_numpy()
-            spot = left.column("cell").to_numpy().astype(np.int64) << 32 | left.column("part").to_numpy()
-            order = np.lexsort((ids, spot))
-            x, ids, spot = x[order], ids[order], spot[order]
-            queries, own = _numbers(right.column("vector")), right.column("id").to_numpy()
-            for q, i, spots in zip(queries, own.tolist(), right.column("spots").to_pylist()):
-                want = np.array([s["cell"] << 32 | s["part"] for s in spots])
-                lo, hi = np.searchsorted(spot, want), np.searchsorted(spot, want, side="right")
+            cell = left.column("cell").to_numpy()
+            order = np.lexsort((left.column("row").to_numpy(), cell))
+            x, ids, rows = _numbers(left.column("vector"))[order], left.column("id").to_numpy()[order], left.column("row").to_numpy()[order]
+            cell = cell[order]
+            asking = zip(_numbers(right.column("vector")), right.column("row").to_pylist(), right.column("id").to_pylist(), right.column("cells").to_pylist())
+            for q, row, i, cells in asking:
+                lo, hi = np.searchsorted(cell, cells), np.searchsorted(cell, cells, side="right")
                 take = np.concatenate([np.arange(a, b) for a, b in zip(lo, hi)])
-                take = take[ids[take] != i]
-                if not len(take):
-                    continue
-                d = np.sqrt(((x[take] - q) ** 2).sum(1))
-                if len(take) > k:
-                    edge = np.partition(d, k - 1)[k - 1]
-                    near = np.flatnonzero(d <= edge)
-                    take, d = take[near], d[near]
-                best = np.lexsort((ids[take], d))[:k]
-                out += [(i, int(j), float(s)) for j, s in zip(ids[take[best]], d[best])]
-        columns = list(zip(*out)) or [()] * 3
-        kinds = (pa.int64(), pa.int64(), pa.float64())
-        return pa.table([pa.array(list(c), t) for c, t in zip(columns, kinds)], names=["query_id", "id", "score"])
-
-    found = placed.groupBy("group", "block").cogroup(asked.groupBy("group", "block")).applyInArrow(rerank, "query_id long, id long, score double")
-    best = Window.partitionBy("query_id").orderBy("score", "id")
+                near, d = _nearest_of(x[take], ids[take], rows[take], q, row, k)
+                out += [(row, i, int(j), float(s)) for j, s in zip(ids[take[near]], d)]
+        columns = list(zip(*out)) or [()] * 4
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64())
+        return pa.table([pa.array(list(c), t) for c, t in zip(columns, kinds)], names=["row", "query_id", "id", "score"])
+
+    found = placed.groupBy(*unit).cogroup(asked.groupBy(*unit)).applyInArrow(rerank, "row long, query_id long, id long, score double")
+    best = Window.partitionBy("row").orderBy("score", "id")
     ranked = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", F.col("id").alias(id_col), "score")

@@ -5,7 +5,7 @@ import pyarrow as pa
 import pytest
 
 from lexispark.llm.kdtree import Tree, top_k
-from lexispark.llm.multiindex import nearest, walk
+from lexispark.llm.multiindex import Index, nearest, walk
 
 
 def _table(spark, rows):
@@ -22,30 +22,71 @@ def _rows(n=700, dim=8, odd=True):
     return rows, rows + (bad + [(1500, [0.0] * dim), (3, [9.0] * dim), rows[10]] if odd else [])
 
 
-def _finite(rows, zero):
-    out = {}
-    for i, v in rows:
-        if i is None or not v or any(c is None or not np.isfinite(c) for c in v) or (not zero and not any(v)):
-            continue
-        out[i] = min(out.get(i, v), v)
+def _valid(rows, zero):
+    """The rows that take part, as (id, vector); repeated ids and repeated rows stay."""
+    return [(i, v) for i, v in rows if i is not None and v and not any(c is None or not np.isfinite(c) for c in v) and (zero or any(v))]
+
+
+def _integers(v):
+    return np.floor(1024 * np.array(v, np.float32).astype(float)).astype(np.int64)
+
+
+def _best(rows, measure, k=10):
+    """Brute force: for each query row the (query_id, rank, id, score) of its best other rows of the same length, smallest ``measure`` first."""
+    out = []
+    for at, (q, x) in enumerate(rows):
+        if q % 100 == 0:
+            scored = sorted((measure(x, y), j) for b, (j, y) in enumerate(rows) if b != at and len(y) == len(x))[:k]
+            out += [(q, r + 1, j, s) for r, (s, j) in enumerate(scored)]
     return out
 
 
+def _product(x, y):
+    return -int(_integers(x) @ _integers(y))
+
+
+def _distance(x, y):
+    return float(np.sqrt(((np.array(x, np.float32).astype(float) - np.array(y, np.float32).astype(float)) ** 2).sum()))
+
+
+REPEATED = [(0, [0.5] * 8), (1, [5.0] * 8), (1, [4.0] * 8), (200, [0.25] * 8), (200, [0.25] * 8)]
+SHORT = [(0, [1.0, 2.0, 3.0]), (100, [1.0, 1.0, 1.0]), (7, [2.0, 2.0, 2.0]), (8, [2.0, 2.0, 2.0]), (300, [4.0])]
+
+
 def test_top_k_by_inner_product(spark):
-    _, rows = _rows()
-    own = _finite(rows, True)
-    ids = np.array(sorted(own))
-    x = np.floor(1024 * np.array([own[i] for i in ids]).astype(float)).astype(np.int64)
-    want = []
-    for q in ids[ids % 100 == 0]:
-        s = x @ x[list(ids).index(q)]
-        order = [j for j in np.lexsort((ids, -s)) if ids[j] != q][:10]
-        want += [(int(q), r + 1, int(ids[j]), int(s[j])) for r, j in enumerate(order)]
-    for shard_rows, block_rows in ((100_000, 1000), (150, 3)):
-        got = top_k(_table(spark, rows), shard_rows=shard_rows, block_rows=block_rows).collect()
+    rows = _rows()[1] + REPEATED + SHORT
+    want = [(q, r, j, -s) for q, r, j, s in _best(_valid(rows, True), _product)]
+    for settings in ({"shard_rows": 100_000, "block_rows": 1000}, {"shard_rows": 150, "block_rows": 3}, {"shard_rows": 50, "sample_rows": 100}):
+        got = top_k(_table(spark, rows), **settings).collect()
         assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == sorted(want)
 
 
+def test_top_k_of_a_vector_in_a_third_of_all_rows(spark):
+    rows = [(i, [1.0, 0.0, 0.5] if i % 3 else [i / 100, -i / 50, 0.1]) for i in range(600)]
+    want = [(q, r, j, -s) for q, r, j, s in _best(rows, _product)]
+    got = top_k(_table(spark, rows), shard_rows=64).collect()
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == sorted(want)
+
+
+def test_far_shards_are_not_asked():
+    from lexispark.llm.kdtree import _route
+
+    boxes = pa.table({"region": pa.array([1, 2], pa.int32()), "part": pa.array([0, 0], pa.int32()), "low": [[0, 0], [-9, -9]], "high": [[5, 5], [-1, -1]]})
+    asked = {"row": [1, 2], "id": [0, 100], "dim": pa.array([2, 2], pa.int32()), "v": [[1, 1], [-1, 0]], "kth": [3, 4], "lane": pa.array([0, 0], pa.int32())}
+    queries = pa.table({**asked, "region": pa.array([5, 5], pa.int32()), "part": pa.array([0, 0], pa.int32())})
+    routed = _route(boxes, queries)
+    assert list(zip(routed.column("id").to_pylist(), routed.column("region").to_pylist())) == [(0, 1), (100, 2)]
+
+
+def test_packed_trees_are_the_same_trees():
+    rng = np.random.default_rng(5)
+    tree = Tree(np.arange(500), rng.integers(-50, 50, (500, 4)), leaf=10)
+    same = Tree.unpacked(tree.packed(), 4)
+    queries = rng.integers(-50, 50, (9, 4))
+    lowest = np.full(9, -(1 << 62))
+    assert same.search(queries, np.arange(9), 5, lowest) == tree.search(queries, np.arange(9), 5, lowest)
+
+
 def test_top_k_of_small_and_mixed_tables(spark):
     assert top_k(_table(spark, [])).count() == 0
     assert top_k(_table(spark, [(0, [1.0])])).count() == 0
@@ -72,25 +113,33 @@ def test_walk_goes_by_summed_distance():
     assert sums == sorted(sums)
 
 
-@pytest.mark.parametrize("share", [1.0, 0.6])
+@pytest.mark.parametrize("share", [1.0, 0.6, None])
 def test_nearest(spark, share):
-    _, rows = _rows(n=1500)
-    own = _finite(rows, False)
-    ids = np.array(sorted(own))
-    x = np.array([own[i] for i in ids]).astype(np.float32).astype(float)
-    want = {}
-    for q in ids[ids % 100 == 0]:
-        d = np.sqrt(((x - x[list(ids).index(q)]) ** 2).sum(1))
-        want[int(q)] = [(int(ids[j]), d[j]) for j in np.lexsort((ids, d)) if ids[j] != q][:10]
-    got = {}
-    for r in nearest(_table(spark, rows), share=share, least=100, codes=8).orderBy("query_id", "rank").collect():
-        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
-    assert got.keys() == want.keys()
+    rows = _rows(n=1500)[1] + REPEATED + SHORT
+    want = _best(_valid(rows, False), _distance)
+    got = [(r.query_id, r["rank"], r.vec_id, r.score) for r in nearest(_table(spark, rows), share=share, least=100, codes=8).collect()]
     if share == 1.0:
-        for q in want:
-            assert [i for i, _ in got[q]] == [i for i, _ in want[q]] and np.allclose([s for _, s in got[q]], [s for _, s in want[q]])
+        assert [r[:3] for r in sorted(got)] == [r[:3] for r in sorted(want)]
+        assert np.allclose([r[3] for r in sorted(got)], [r[3] for r in sorted(want)])
     else:
-        assert np.mean([len({i for i, _ in got[q]} & {i for i, _ in want[q]}) / 10 for q in want]) >= 0.9
+        assert len(got) == len(want)
+        assert len({(q, j) for q, _, j, _ in got} & {(q, j) for q, _, j, _ in want}) >= 0.9 * len({(q, j) for q, _, j, _ in want})
+
+
+def test_lengths_outside_the_sample_and_large_cells(spark, monkeypatch):
+    monkeypatch.setattr("lexispark.llm.multiindex.GROUP_ROWS", 40)
+    rows = _rows(n=400)[1] + REPEATED + SHORT
+    want = _best(_valid(rows, False), _distance)
+    got = [(r.query_id, r["rank"], r.vec_id) for r in nearest(_table(spark, rows), share=1.0, codes=3, sample_rows=5).collect()]
+    assert sorted(got) == sorted(r[:3] for r in want)
+
+
+def test_clustered_vectors_need_a_small_share():
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(40, 8)) * 10
+    clustered = (centres[rng.integers(0, 40, 2000)] + rng.normal(size=(2000, 8)) * 0.1)
+    spread = rng.normal(size=(2000, 8))
+    assert Index(clustered, 16).share_for(clustered, 10, 0.97) < 0.1 < Index(spread, 16).share_for(spread, 10, 0.97)
 
 
 def test_nearest_of_small_tables(spark):
