@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import Word2Vec
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -10,9 +9,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexispark.functions.text import count_rows, drop_words
+from lexispark.operators.centres import fit_centres
 from lexispark.operators.cleaning import words_of
 from lexispark.operators.joins import frequency_join
 from lexispark.operators.ranking import assign_row_id
+from lexispark.operators.sampling import sample_n
 from lexispark.session import stage
 
 
@@ -87,11 +88,15 @@ def vector_average(docs: DataFrame, vectors: DataFrame, dim: int, stopwords=())
 
 
 def word_clusters(vectors: DataFrame, k: int | None = None, max_iter: int = 150, seed: int = 42) -> DataFrame:
-    """`word, cluster` by k-means on the word vectors, one tenth as many clusters as words by default."""
-    points = stage(vectors.select("word", array_to_vector("vector").alias("features")), "cluster-points")
-    k = k or max(points.count() // 10, 2)  # k-means takes two clusters at least
-    model = KMeans(k=k, maxIter=max_iter, seed=seed, featuresCol="features", predictionCol="cluster").fit(points)
-    return model.transform(points).select("word", "cluster")
+    """`word, cluster` by k-means on the word vectors, one tenth as many clusters as words by default.
+
+    The rounds start from `k` words drawn by a hash of the word; the centres stay a table (see `centres`), so `k` may grow with the vocabulary.
+    """
+    points = stage(vectors.select("word", "vector").where("vector IS NOT NULL"), "cluster-points")
+    k = k or max(points.count() // 10, 2)
+    drawn = sample_n(points.dropDuplicates(["word"]), k, "word", seed)
+    start = assign_row_id(drawn, ["word"], "cluster").select((F.col("cluster") - 1).alias("cluster"), F.col("vector").alias("centre"))
+    return fit_centres(points, start, max_iter)[0].withColumn("cluster", F.col("cluster").cast("int"))
 
 
 def cluster_centers(vectors: DataFrame, clusters: DataFrame, dim: int) -> DataFrame:

@@ -214,7 +214,7 @@ def _(spark, sf):
 @query("word_clusters_cover", with_sql("SELECT word, CAST(1 AS BIGINT) AS n FROM vectors", "vectors"))
 def _(spark, sf):
     """Each word is in one cluster."""
-    clusters = embeddings.word_clusters(word_table(spark, sf).select("word", "vector"), max_iter=5)
+    clusters = embeddings.word_clusters(word_table(spark, sf).select("word", "vector"))
     return clusters.groupBy("word").agg(F.count("*").alias("n"))
 
 
