@@ -125,10 +125,10 @@ def _(spark, sf):
 
 
 # --- classifiers ---
-def _labelled_vectors(spark, sf):
+def _labelled_vectors(spark, sf, stopwords=fx.STOP):
     """Vector averages of the labelled documents with a stratified split."""
     reviews = fx.reviews(spark, sf)
-    means = embeddings.vector_average(cleaning.tokenized(reviews), word_table(spark, sf), fx.DIM, fx.STOP)
+    means = embeddings.vector_average(cleaning.tokenized(reviews), word_table(spark, sf), fx.DIM, stopwords)
     labels = reviews.select("review_id", F.col("binary_rating").cast("double").alias("label"))
     rows = labels.join(means, "review_id").select("review_id", array_to_vector("vector").alias("features"), "label")
     split = stage(sampling.stratified_split(rows, "label", 0.2).hint("rebalance"), "labelled-vectors")
@@ -161,24 +161,22 @@ def _(spark, sf):
 
 @query("run_grid")
 def _(spark, sf):
-    """Two cells with stored features, read back by their keys; a short path of penalties and few trees keep it to minutes."""
-    root = new_folder(spark, "grid-features")
-    train, test = _labelled_vectors(spark, sf)
-    rows = train.withColumn("type", F.lit("train")).unionByName(test.withColumn("type", F.lit("test")))
-    rows = rows.withColumn("features", vector_to_array("features"))
-    sizes = (300, 1000)
-    for size in sizes:
-        for approach in ("mix", "blind"):  # averages of given vectors are not fitted: all approaches have the same rows
-            part = rows.where((F.col("type") == "test") | (F.pmod(F.xxhash64("review_id"), F.lit(1000)) < size))
-            writers.write_feature_set(part, root, "average", approach, "documents", size)
+    """Two feature sets, with and without stop words, stored and read back by their keys; the classifiers run in full."""
+    root, techniques = new_folder(spark, "grid-features"), {"average": fx.STOP, "average_all": ()}
+    size = fx.table(spark, sf, "documents").count()
+    for technique, stopwords in techniques.items():
+        train, test = _labelled_vectors(spark, sf, stopwords)
+        rows = train.withColumn("type", F.lit("train")).unionByName(test.withColumn("type", F.lit("test")))
+        rows = rows.withColumn("features", vector_to_array("features"))
+        for approach in ("mix", "blind"):  # averages of given vectors are not fitted: both approaches have the same rows
+            writers.write_feature_set(rows, root, technique, approach, "documents", size)
 
     def load(technique, dataset, size, approach):
         stored = readers.read_table(spark, root, technique=technique, dataset=dataset, size=size, approach=approach)
         return stored.select("review_id", array_to_vector("features").alias("features"), "label", "type")
 
-    fit = lambda part: {"glmnet": models.lasso_logistic_cv(part, n_lambda=4), "xgboost": models.boosted_trees(part, rounds=8, depth=4)}
-    grid = protocols.parameter_grid(["documents"], ["average"], sizes, spark=spark)
-    return protocols.run_grid(grid, load, "blind_and_mix", fit)
+    grid = protocols.parameter_grid(["documents"], techniques, [size], spark=spark)
+    return protocols.run_grid(grid, load, "blind_and_mix")
 
 
 # --- what fitted features have to fulfil, next to SQL ---
