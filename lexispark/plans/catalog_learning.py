@@ -161,7 +161,7 @@ def _(spark, sf):
 
 @query("run_grid")
 def _(spark, sf):
-    """Two feature sets, with and without stop words, stored and read back by their keys; the classifiers run in full."""
+    """Two feature sets, with and without stop words, stored and read back by their keys; a short path of penalties and few trees."""
     root, techniques = new_folder(spark, "grid-features"), {"average": fx.STOP, "average_all": ()}
     size = fx.table(spark, sf, "documents").count()
     for technique, stopwords in techniques.items():
@@ -175,8 +175,9 @@ def _(spark, sf):
         stored = readers.read_table(spark, root, technique=technique, dataset=dataset, size=size, approach=approach)
         return stored.select("review_id", array_to_vector("features").alias("features"), "label", "type")
 
+    fit = lambda part: {"glmnet": models.lasso_logistic_cv(part, n_lambda=4), "xgboost": models.boosted_trees(part, rounds=8, depth=4)}
     grid = protocols.parameter_grid(["documents"], techniques, [size], spark=spark)
-    return protocols.run_grid(grid, load, "blind_and_mix")
+    return protocols.run_grid(grid, load, "blind_and_mix", fit)
 
 
 # --- what fitted features have to fulfil, next to SQL ---
