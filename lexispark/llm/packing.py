@@ -339,10 +339,11 @@ def pack(
     how = {"islands": islands, "epochs": epochs, "size": population, "rounds": rounds}
     ship(pieces.sparkSession)
     names = ["piece", "start", "length", "ids_crc32"]
-    base = stage(pieces.select(F.col(id_col).alias("id"), *names), "packing-pieces")
+    # rows without an id, or many of one id, are dealt by their place in the stored table
+    base = stage(pieces.select(F.col(id_col).alias("id"), *names, F.monotonically_increasing_id().alias("row")), "packing-pieces")
     n_shards = max(1, -(-base.count() // shard_pieces))
-    key = F.pmod(F.xxhash64("id", "piece"), F.lit(n_shards))
-    first = stage(_packed(base.select("*", F.lit(-1).cast("long").alias("prior"), key.alias("shard")), capacity, **how), "packing-first")
+    key = F.pmod(F.xxhash64("row"), F.lit(n_shards))
+    first = stage(_packed(base.select("id", *names, F.lit(-1).cast("long").alias("prior"), key.alias("shard")), capacity, **how), "packing-first")
     done = first.filter(F.col("fill") >= dissolve * capacity)
     # bins below that share go on together, as whole bins, so the new shards start from a valid packing
     rest = first.filter(F.col("fill") < dissolve * capacity)
