@@ -9,6 +9,8 @@ from pyspark.ml.feature import RFormula, VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexispark.operators.ranking import digest
+
 KEYS = ("review_id", "rating", "binary_rating", "type")
 
 
@@ -146,7 +148,8 @@ def except_ids(all_ids: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def distinct_texts(df: DataFrame) -> DataFrame:
-    return df.select("review_text").distinct()
+    """Each text once; a digest is the key, the text itself is only carried along."""
+    return df.select("review_text", digest("review_text").alias("_key")).dropDuplicates(["_key"]).select("review_text")
 
 
 def split_mix_after_features(features: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -102,10 +102,18 @@ def quantiles_of_counts(merged: DataFrame, value: str, probs: dict[str, float],
     return ranked.groupBy(*by).agg(*picks, F.max("total_rows").alias("n")).select(*by, "n", *spread)
 
 
+def digest(col: str) -> Column:
+    """256 bits that stand for a text as a key of shuffles and sorts; NULL for NULL."""
+    return F.unhex(F.sha2(F.col(col).cast("binary"), 256))
+
+
 def dedup_first(df: DataFrame, key: str, order_by: Sequence[str]) -> DataFrame:
     """First row per value of `key`. Spark limits each group before the shuffle (WindowGroupLimit),
 
-    so a text that makes up a large share of the rows sends one row per input partition.
+    so a text that makes up a large share of the rows sends one row per input partition. Texts are told apart by a digest:
+    rows are sorted and dealt by 32 bytes however long the texts are.
     """
-    w = Window.partitionBy(key).orderBy(*order_by)
-    return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+    text = df.schema[key].dataType.typeName() in ("string", "binary")
+    keyed = df.withColumn("_key", digest(key) if text else F.col(key))
+    w = Window.partitionBy("_key").orderBy(*order_by)
+    return keyed.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn", "_key")

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lexispark.operators import describe, ranking, sampling
+from lexispark.operators import corpus, describe, ranking, sampling
 
 
 @pytest.fixture(scope="module")
@@ -99,3 +99,13 @@ def test_folds_keep_class_shares(skewed):
     assert len(sizes) == 10
     for label, share in (("hot", 540), ("rare", 60)):
         assert all(r["count"] == share for r in sizes if r["label"] == label)
+
+
+def test_texts_are_told_apart_by_digests(spark):
+    long = "x" * 100000
+    rows = [(1, None, "a"), (2, "", "b"), (3, None, "c"), (4, "", "d"), (5, long, "e"), (6, long + "y", "f"), (7, long, "g"), (8, " ", "h")]
+    df = spark.createDataFrame(rows, "id LONG, review_text STRING, other STRING").repartition(3)
+    first = ranking.dedup_first(df, "review_text", ["id"])
+    assert first.columns == df.columns and sorted(r["id"] for r in first.collect()) == [1, 2, 5, 6, 8]
+    assert sorted(len(r["review_text"] or "-") for r in corpus.distinct_texts(df).collect()) == [1, 1, 1, 100000, 100001]
+    assert corpus.distinct_texts(df.limit(0)).count() == 0 and ranking.dedup_first(df, "id", ["other"]).count() == 8
