@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.ml.linalg import Vectors
 
 from lexispark.functions import stem
-from lexispark.operators import embeddings, terms
+from lexispark.operators import embeddings, joins, terms
 from lexispark.session import stage
 
 
@@ -55,3 +55,16 @@ def test_means_need_no_sort(spark):
         assert np.allclose(got[i], np.mean(known, axis=0) if known else np.zeros(6))
     plan = means._jdf.queryExecution().executedPlan().toString()
     assert "ObjectHashAggregate" not in plan and "SortAggregate" not in plan
+
+
+def test_frequent_words_are_named_by_their_document_counts(spark, monkeypatch):
+    texts, docs = corpus(spark)
+    want = {tuple(r) for r in terms.tfidf(docs, cut=None).collect()}
+
+    def sketch(*_):
+        raise AssertionError("a pass over all rows to find what the document counts say")
+
+    monkeypatch.setattr(joins, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(joins, "heavy_keys", sketch)
+    monkeypatch.setattr(joins, "HEAVY_KEYS", 5)
+    assert {tuple(r) for r in terms.tfidf(docs, cut=None).collect()} == want and len(want) > 1000
