@@ -5,6 +5,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.linalg import Vectors
+from pyspark.util import PythonEvalType
 
 from lexispark.functions import stem
 from lexispark.operators import embeddings, joins, terms
@@ -15,6 +16,7 @@ def test_sparse_cells_are_columns(spark):
     rows = [("a", Vectors.sparse(9, [1, 4], [2.0, 3.0])), ("b", Vectors.sparse(9, [], [])), ("c", Vectors.sparse(9, [8], [1.0]))]
     got = spark.createDataFrame(rows, ["id", "v"]).coalesce(1).select("id", terms.sparse_cells("v").alias("cells")).collect()
     assert {r["id"]: [tuple(c) for c in r["cells"]] for r in got} == {"a": [(1, 2.0), (4, 3.0)], "b": [], "c": [(8, 1.0)]}
+    assert terms.sparse_cells.evalType == PythonEvalType.SQL_SCALAR_ARROW_UDF  # no object for each entry
 
 
 def test_stems_of_arrays_with_nulls(spark):
