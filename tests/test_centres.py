@@ -66,3 +66,31 @@ def test_planted_clusters_and_awkward_tables(spark):
     assert embeddings.word_clusters(df.limit(0)).count() == 0
     one = embeddings.word_clusters(spark.createDataFrame([("a", [1.0, 2.0])], df.schema)).collect()
     assert [(r["word"], r["cluster"]) for r in one] == [("a", 0)]
+
+
+def test_a_later_round_compares_what_can_differ():
+    rng = np.random.default_rng(4)
+    x, c = rng.normal(size=(300, 4)), rng.normal(size=(30, 4))
+    distances = lambda c: ((x[:, None] - c[None]) ** 2).sum(2)
+    before, bound = distances(c).argmin(1), distances(c).min(1)
+    moved = np.arange(30) % 10 == 0
+    c[moved] += rng.normal(size=(3, 4)) * 0.5
+    columns = {"row": np.arange(300), "vector": pa.array(x.tolist()), "block": np.zeros(300, np.int32), "cluster": before, "d2": bound}
+    block, compared = centres.Block([pa.RecordBatch.from_pydict(columns)]), []
+    take = block._take
+    block._take = lambda at, ids, c: (compared.append(len(at) * len(ids)), take(at, ids, c))
+    for part in (moved, ~moved):
+        block.meet(np.flatnonzero(part), c[part], moved[part])
+    done = block.done()
+    assert np.array_equal(done.column("cluster"), distances(c).argmin(1)) and np.allclose(done.column("d2"), distances(c).min(1))
+    assert np.array_equal(done.column("was"), before) and 0 < sum(compared) < 0.3 * 300 * 30
+
+
+def test_a_vector_that_is_not_finite_spoils_no_cluster(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(60, 3))
+    start = x[:6]
+    want = {r["word"]: r["cluster"] for r in centres.fit_centres(_points(spark, x), _start(spark, start), max_iter=3)[0].collect()}
+    rows = _points(spark, x).unionByName(spark.createDataFrame([("nan", [float("nan"), 0.0, 0.0]), ("inf", [float("inf"), 0.0, 0.0])], "word STRING, vector ARRAY<DOUBLE>"))
+    got = {r["word"]: r["cluster"] for r in centres.fit_centres(rows, _start(spark, start), max_iter=3)[0].collect()}
+    assert got == {**want, "nan": None, "inf": None}
