@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexispark.functions.text import drop_words, where_computed
+from lexispark.functions.text import drop_words, ngrams, where_computed
 from lexispark.operators.cleaning import words_of
 from lexispark.operators.ranking import exact_quantiles, quantiles_of_counts
 from lexispark.session import stage
@@ -78,11 +78,20 @@ def column_summary(df: DataFrame, cols: list[str]) -> DataFrame:
     return exact_quantiles(long, "value", FIVE_NUMBERS, ["column"]).join(means, "column").drop("n")
 
 
-def row_and_column_totals(term_counts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(review_id, total) and (term, total), both largest first."""
-    rows = term_counts.groupBy("review_id").agg(F.sum("n").alias("total"))
-    cols = term_counts.groupBy("term").agg(F.sum("n").alias("total"))
-    return rows.orderBy(F.desc("total"), "review_id"), cols.orderBy(F.desc("total"), "term")
+def row_and_column_totals(docs: DataFrame, n_max: int = 2, sep: str = " ") -> tuple[DataFrame, DataFrame]:
+    """(review_id, total) and (term, total) of the document-term matrix of n-grams, both largest first.
+
+    Totals need no counts per document: each n-gram counts once. A NULL term per document carries the document's own total
+    through the same aggregation, so the text is read once for both.
+    """
+    marked = docs.select("review_id", F.concat(ngrams("tokens", 1, n_max, sep), F.array(F.lit(None).cast("string"))).alias("_terms"))
+    long = marked.select("review_id", F.size("_terms").alias("_size"), F.explode_outer("_terms").alias("term"))
+    is_row = F.col("term").isNull()
+    n = F.when(is_row, F.greatest(F.col("_size") - 1, F.lit(0))).otherwise(1).cast("long")
+    keyed = long.select(is_row.alias("is_row"), F.when(is_row, F.col("review_id").cast("string")).otherwise(F.col("term")).alias("key"), n.alias("n"))
+    totals = stage(keyed.groupBy("is_row", "key").agg(F.sum("n").alias("total")).where("total > 0"), "matrix-totals")
+    part = lambda kind, key, dtype: totals.where(kind).select(F.col("key").cast(dtype).alias(key), "total").orderBy(F.desc("total"), key)
+    return part("is_row", "review_id", docs.schema["review_id"].dataType), part("not is_row", "term", "string")
 
 
 def top_terms(term_counts: DataFrame, k: int | None = 20, min_freq: int | None = None) -> DataFrame:

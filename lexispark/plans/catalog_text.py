@@ -288,7 +288,7 @@ def _(spark, sf):
     ),
 )
 def _(spark, sf):
-    rows, cols = describe.row_and_column_totals(terms.ngram_counts(fx.docs(spark, sf)))
+    rows, cols = describe.row_and_column_totals(fx.docs(spark, sf))
     named = lambda df, kind, key: df.select(F.lit(kind).alias("kind"), F.col(key).alias("key"), "total")
     return corpus.union_rows(named(rows, "row", "review_id"), named(cols, "column", "term"))
 
