@@ -192,3 +192,29 @@ def test_frequency_join_shuffles_only_rare_keys(spark, sf, monkeypatch):
     reference = {(r["review_id"], r["word"], round(r["tf_idf"], 9)) for r in terms.tfidf(docs).collect()}
     monkeypatch.setattr(joins, "BROADCAST_BYTES", 0)
     assert {(r["review_id"], r["word"], round(r["tf_idf"], 9)) for r in terms.tfidf(docs).collect()} == reference
+
+
+def test_vectors_of_a_large_vocabulary_are_added_up_before_the_shuffle(spark, sf, monkeypatch):
+    """Beyond the broadcast limit the means stay, and no vector meets its words in a join by shuffle but those of the rarest."""
+    from lexispark.plans.catalog_features import word_table
+
+    docs, table = fx.docs(spark, sf, ()), word_table(spark, sf)
+    whole = {r["review_id"]: r["vector"] for r in embeddings.vector_average(docs, table, fx.DIM, fx.STOP).collect()}
+    size, seen, sliced = joins.table_bytes(table.select("word", "vector"), "word"), [], joins.sliced_join
+
+    def spy(*args):
+        seen.append(sliced(*args))
+        return seen[-1]
+
+    monkeypatch.setattr(embeddings, "sliced_join", spy)
+    for slices, shuffled in ((4, 0), (2, 1)):
+        monkeypatch.setattr(joins, "BROADCAST_BYTES", size // 3)
+        monkeypatch.setattr(joins, "SLICES", slices)
+        got = {r["review_id"]: r["vector"] for r in embeddings.vector_average(docs, table, fx.DIM, fx.STOP).collect()}
+        assert got.keys() == whole.keys() and all(np.allclose(got[i], whole[i]) for i in whole)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        try:
+            physical = seen[-1].select("*")._jdf.queryExecution().sparkPlan().toString()
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        assert physical.count("SortMergeJoin") + physical.count("ShuffledHashJoin") == shuffled
